@@ -6,13 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mih
+from . import fingerprint, mih, packing, tokens
+
+VOCABULARY = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """128-bit fingerprints of every document and of its edited text, with their likeness."""
+    return fingerprint.edit_report(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text."""
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path()))
+
+
 def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit SimHash classes of all documents, 3-word shingles, at most 2 bits apart."""
     return mih.near_dedup(_table(spark, sf_dir, "documents"))
@@ -20,6 +43,9 @@ def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_fingerprints": op2_fingerprints,
+        "op5_token_counts": op5_token_counts,
+        "op9_packing": op9_packing,
         "op10_simhash_mih": op10_simhash_mih,
     }
 
