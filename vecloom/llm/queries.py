@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mih, packing, tokens
+from . import embeddings, fingerprint, mih, packing, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -21,6 +21,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine >= 0.95."""
+    return embeddings.near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """128-bit fingerprints of every document and of its edited text, with their likeness."""
     return fingerprint.edit_report(_table(spark, sf_dir, "documents"))
@@ -43,6 +48,7 @@ def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_embedding_dedup": op1_embedding_dedup,
         "op2_fingerprints": op2_fingerprints,
         "op5_token_counts": op5_token_counts,
         "op9_packing": op9_packing,
