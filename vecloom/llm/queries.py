@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, fingerprint, mih, packing, tokens
+from . import embeddings, fingerprint, mih, mixing, packing, quality, templates, tokens
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -31,11 +31,27 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' sources mixed half-way to uniform entropy, at most 4 epochs, by words."""
+    table = mixing.token_table(_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
+    return mixing.mix(table).withColumnRenamed("id", "doc_id")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
     return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the lines whose templates recur in three documents or more."""
+    return templates.report(_table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality from its text, its source and its source's language."""
+    return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path()))
@@ -50,11 +66,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_fingerprints": op2_fingerprints,
+        "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_quality": op7_quality,
         "op9_packing": op9_packing,
         "op10_simhash_mih": op10_simhash_mih,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": mixing.SQL, "op6_line_dedup": templates.SQL}
