@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, fingerprint, mih, mixing, packing, quality, templates, tokens
+from . import embeddings, fingerprint, mih, mixing, packing, pages, quality, templates, tokens, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -31,6 +31,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to ZIP-packaged WARC files and read back by range."""
+    found = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' sources mixed half-way to uniform entropy, at most 4 epochs, by words."""
     table = mixing.token_table(_table(spark, sf_dir, "documents"), "doc_id", "source", "text")
@@ -52,6 +58,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), vocabulary_path()))
@@ -66,14 +77,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
         "op2_fingerprints": op2_fingerprints,
+        "op3_warc": op3_warc,
         "op4_mixing": op4_mixing,
         "op5_token_counts": op5_token_counts,
         "op6_line_dedup": op6_line_dedup,
         "op7_quality": op7_quality,
+        "op8_html_text": op8_html_text,
         "op9_packing": op9_packing,
         "op10_simhash_mih": op10_simhash_mih,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op6_line_dedup": templates.SQL}
+    return {"op3_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_line_dedup": templates.SQL}
