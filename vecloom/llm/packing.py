@@ -153,10 +153,11 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
                 sequence += 1
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                emit(packer.add(doc.as_py(), c.ids(text.as_py() or "") + end))
+            for doc, ids in zip(batch.column(0), c.ids_of(batch.column(1))):
+                emit(packer.add(doc.as_py(), ids + end))
                 if len(rows) >= 512:
                     yield flush()
+        c.forget()
         emit(packer.finish())
         yield flush()
 

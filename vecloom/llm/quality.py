@@ -10,7 +10,7 @@ document's posterior odds are its likelihood ratio times its path's odds.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,9 +78,9 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
 
 
 def _feature_udf():
-    @F.pandas_udf("array<double>")
-    def run(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in text])
+    @F.arrow_udf("array<double>")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()).tolist() for t in text], pa.list_(pa.float64()))
 
     return run
 
@@ -89,11 +89,11 @@ def score(model: tuple[np.ndarray, np.ndarray, np.ndarray], text: Column) -> Col
     """The classifier's probability of a good document, kept off 0 and 1."""
     mean, scale, w = model
 
-    @F.pandas_udf("double")
-    def run(text: pd.Series) -> pd.Series:
-        x = np.array([features(t) for t in text]).reshape(-1, FEATURES)
+    @F.arrow_udf("double")
+    def run(text: pa.Array) -> pa.Array:
+        x = np.array([features(t.as_py()) for t in text]).reshape(-1, FEATURES)
         p = 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
-        return pd.Series(np.clip(p, _EDGE, 1 - _EDGE))
+        return pa.array(np.clip(p, _EDGE, 1 - _EDGE))
 
     return run(text)
 

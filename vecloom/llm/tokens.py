@@ -1,15 +1,17 @@
 """Token counts and ids of whole texts, with a whole-token shortcut.
 
 The tokenizer drops white space and its pre-tokens never cross it, so a text's
-ids are those of its chunks between spaces and line feeds, one after another. For
-a chunk of ASCII characters the pre-tokens are read off by the tokenizer's own
-pattern; those that are proven to be one token alone are counted directly, and
-only chunks with others (or beyond ASCII) are merged by the library.
+ids are those of its pre-tokens, one after another. Where a text (or else a chunk
+of it between spaces and line feeds) has only ASCII characters and precomposed
+Latin letters, the pre-tokens are read off by the tokenizer's own pattern; those
+proven to be one token alone are taken directly, and the library merges only the
+rest. It encodes other chunks whole.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,25 +21,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The vocabulary file's pre-token pattern, for ASCII.
-_PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# Letters that composition leaves alone and whose lower case is one letter: U+00C0 to U+017E less signs and U+0130.
+_LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+_PLAIN = re.compile(rf"[\x20-\x7e\t\n\r{_LATIN}]*")
+# The vocabulary file's pre-token pattern, for the characters of _PLAIN, and its mark of a word's end.
+_PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_LATIN}]+")
 _WORD_END = "</w>"
-_MOST = 1_000_000  # chunks that a worker remembers; beyond it starts anew, with equal results
+_MOST = 300_000  # pre-tokens and chunks that a worker remembers; beyond it starts anew, with equal results
+_GROUP = 1 << 20
+
+
+def _byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable ones themselves, others from U+0100 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
 def whole_tokens(path: str) -> dict[str, int]:
     """Vocabulary strings proven to encode alone as their one token: {string: id}.
 
-    Each ASCII string that can be a pre-token is encoded by the library itself.
+    Each string that can be a pre-token is encoded by the library itself.
     """
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
-    tok = Tokenizer.from_file(path)
-    ends = [(s[: -len(_WORD_END)], i) for s, i in vocab.items() if s.endswith(_WORD_END)]
-    able = [(s, i) for s, i in ends if s.isascii() and _PRE_TOKEN.fullmatch(s)]
-    encoded = tok.encode_batch([s for s, _ in able], add_special_tokens=False)
+    letters, able = _byte_letters(), []
+    for s, i in vocab.items():
+        if s.endswith(_WORD_END):
+            text = bytes(letters[c] for c in s[: -len(_WORD_END)]).decode("utf-8", "replace")
+            if _PLAIN.fullmatch(text) and _PRE_TOKEN.fullmatch(text):
+                able.append((text, i))
+    encoded = Tokenizer.from_file(path).encode_batch([s for s, _ in able], add_special_tokens=False)
     return {s: i for (s, i), e in zip(able, encoded) if e.ids == [i]}
 
 
@@ -45,38 +61,78 @@ class Counter:
     """Ids of texts as little-endian 32-bit bytes; made once for a worker."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.whole = {s: np.uint32(i).astype("<u4").tobytes() for s, i in whole_tokens(path).items()}
         self.special = tuple(x.content for x in self.tok.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.known) + len(chunks) > _MOST:
-            self.known = {"": b""}
-        rest = []
-        for c in chunks:
-            if c.isascii() and not any(s in c for s in self.special):
-                parts = [self.whole.get(p) for p in _PRE_TOKEN.findall(c.lower())]
-                if None not in parts:
-                    self.known[c] = b"".join(parts)
-                    continue
-            rest.append(c)
-        for c, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
+        ends = [i for s, i in self.tok.get_vocab(with_added_tokens=False).items() if s.endswith(_WORD_END)]
+        self.is_end = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
+        self.is_end[ends] = True
+        self.known = dict(self.whole)  # pre-tokens of plain texts
+        self.chunks: dict[str, bytes] = {}  # others, encoded whole
+
+    def forget(self) -> None:
+        """Lets go of what this task has learnt; the worker may wait long for its next one."""
+        self.known, self.chunks = dict(self.whole), {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _merge(self, parts: list[str]) -> None:
+        """Learns pre-tokens that aren't whole tokens; many are encoded at a time, each up to its word end."""
+        for k in range(0, len(parts), 1000):
+            some = parts[k : k + 1000]
+            ids = self._encode(" ".join(some))
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) == len(some):
+                cuts, raw = [0, *(4 * ends).tolist()], ids.tobytes()
+                self.known.update((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
+            else:  # not expected; one at a time is right in any case
+                self.known.update((p, self._encode(p).tobytes()) for p in some)
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of plain characters."""
+        found = [_PRE_TOKEN.findall(t.lower()) for t in texts]
+        new = set().union(*found).difference(self.known)
+        if len(self.known) + len(new) > _MOST:
+            self.known = dict(self.whole)
+            new = set().union(*found).difference(self.known)
+        self._merge(list(new))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, parts)) for parts in found]
+
+    def _chunk(self, chunk: str) -> bytes:
+        if self._is_plain(chunk):
+            return self._plain([chunk])[0]
+        if chunk not in self.chunks:
+            if len(self.chunks) >= _MOST // 10:
+                self.chunks.clear()
+            self.chunks[chunk] = self._encode(chunk).tobytes()
+        return self.chunks[chunk]
+
+    def _is_plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and not ("<|" in text and any(s in text for s in self.special))
 
     def ids(self, text: str) -> bytes:
         """The text's ids, without added ones; special strings in it are their tokens, as by the library's default."""
-        chunks = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self._learn(list(set(chunks).difference(self.known)))
-        known = self.known
-        if not all(c in known for c in set(chunks)):  # the memory began anew
-            self._learn(list(set(chunks)))
-        return b"".join(map(self.known.__getitem__, chunks))
+        if self._is_plain(text):
+            return self._plain([text])[0]
+        return b"".join([self._chunk(c) for c in text.replace("\n", " ").split(" ")])
+
+    def ids_of(self, texts: pa.Array) -> Iterator[bytes]:
+        """ids() of each text of an Arrow array, null as empty, about a million characters at a time."""
+        held: list[str] = []
+        size = 0
+        for k, x in enumerate(texts, 1):
+            held.append(x.as_py() or "")
+            size += len(held[-1])
+            if size >= _GROUP or k == len(texts):
+                plain = [self._is_plain(t) for t in held]
+                done = iter(self._plain([t for t, p in zip(held, plain) if p]))
+                yield from (next(done) if p else self.ids(t) for t, p in zip(held, plain))
+                held, size = [], 0
 
 
 @lru_cache(maxsize=4)
@@ -90,8 +146,9 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for batch in batches:
-            n = [len(c.ids(t.as_py() or "")) // 4 for t in batch.column(2)]
+            n = [len(ids) // 4 for ids in c.ids_of(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+        c.forget()
 
     slim = df.select(F.col(id_col).cast("long").alias(id_col), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     out = slim.mapInArrow(run, f"{id_col} long, n_bytes long, n_tokens long")
