@@ -88,55 +88,99 @@ def _segment(fp: Column, first: int, width: int) -> Column:
     return F.shiftleft(take(word, off, width - low), low).bitwiseOR(take(word + 1, 0, low))
 
 
-def hamming_links(fps: DataFrame, words: int, segments: int, radius: int, ball: int | None = None, search: str = "fp") -> DataFrame:
-    """Pairs (a, b), a < b, of rows of (id, fp[, search]) whose fp differ in at most ``radius`` bits.
+def _entries(fps: DataFrame, words: int, segments: int, search: str) -> DataFrame:
+    """The tables: a row (..., seg, val) for each segment of each fingerprint."""
+    entry = F.array(*[F.struct(F.lit(k).cast("byte").alias("seg"), _segment(F.col(search), *p).alias("val")) for k, p in enumerate(cuts(words, segments))])
+    keep = [c for c in fps.columns if c != search or search == "fp"]
+    return fps.withColumn("e", F.explode(entry)).select(*keep, "e.seg", "e.val")
+
+
+def _lookups(fps: DataFrame, words: int, segments: int, ball: int, search: str) -> DataFrame:
+    """A row (..., seg, val, same) for each value of a ball that isn't below the own one; same: it is the own one."""
+    parts = cuts(words, segments)
+    masks = {w: [sum(1 << x for x in c) for n in range(ball + 1) for c in combinations(range(w), n)] for w in {w for _, w in parts}}
+
+    def near(seg: int, part: tuple[int, int]) -> Column:
+        val = _segment(F.col(search), *part)
+        values = F.transform(F.array(*[F.lit(m).cast("long") for m in masks[part[1]]]), lambda m: val.bitwiseXOR(m))
+        return F.transform(F.filter(values, lambda x: x >= val), lambda x: F.struct(F.lit(seg).cast("byte").alias("seg"), x.alias("val"), (x == val).alias("same")))
+
+    keep = [c for c in fps.columns if c != search or search == "fp"]
+    return fps.withColumn("e", F.explode(F.concat(*[near(k, p) for k, p in enumerate(parts)]))).select(*keep, "e.seg", "e.val", "e.same")
+
+
+def _verified(pairs: DataFrame, fps: DataFrame, words: int, radius: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose fp are within the radius."""
+    left, right = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
+    return pairs.join(left, "a").join(right, "b").where(distance(F.col("fa"), F.col("fb"), words) <= radius).select("a", "b")
+
+
+def star_links(fps: DataFrame, words: int, segments: int, radius: int, search: str = "fp") -> DataFrame:
+    """Pairs (a, b), a < b, within the radius, where a is the smallest id that shares a segment's value with b.
+
+    At most ``segments`` pairs a row: few of the pairs there are, but mostly enough to
+    join a large group of near copies.
+    """
+    own = search == "fp"
+    table = _entries(fps, words, segments, search)
+    first = table.groupBy("seg", "val").agg(F.min(F.struct("id", "fp") if own else F.struct("id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = table.join(first, ["seg", "val"]).where(F.col("first.id") < F.col("id"))
+    if own:
+        met = met.where(distance(F.col("first.fp"), F.col("fp"), words) <= radius)
+    pairs = met.select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+    return pairs if own else _verified(pairs, fps, words, radius)
+
+
+def hamming_links(fps: DataFrame, words: int, segments: int, radius: int, ball: int | None = None, search: str = "fp", group: str | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of (id, fp[, search][, group]) whose fp differ in at most ``radius`` bits.
 
     Lookups use the segments of column ``search``. With search = fp and ``ball`` left
     out every pair within the radius is found: ball is radius // segments. Ids must
-    be unique and not null. Each row makes segments * (half a ball) lookups of a few
+    be unique and not null. With ``group`` pairs of one group are left out, and values
+    that only a row's own group has aren't looked up, so that a large group costs its
+    rows and not its pairs. Each row makes segments * (half a ball) lookups of a few
     bytes and ``segments`` table entries; the join's condition keeps non-pairs from
     its output when fp itself is searched, else the fingerprints are joined
     afterwards to the distinct candidates only.
     """
     ball = radius // segments if ball is None else ball
     own = search == "fp"
-    extra = [F.col("fp")] if own else []
-    parts = cuts(words, segments)
-    entry = F.array(*[F.struct(F.lit(k).cast("byte").alias("seg"), _segment(F.col(search), *p).alias("val")) for k, p in enumerate(parts)])
-    table = fps.select("id", *extra, F.explode(entry).alias("e")).select("id", *extra, "e.seg", "e.val")
-    masks = {w: [sum(1 << x for x in c) for n in range(ball + 1) for c in combinations(range(w), n)] for w in {w for _, w in parts}}
-
-    def near(seg: int, part: tuple[int, int]) -> Column:
-        val = _segment(F.col(search), *part)
-        all_ = F.transform(F.array(*[F.lit(m).cast("long") for m in masks[part[1]]]), lambda m: val.bitwiseXOR(m))
-        return F.transform(F.filter(all_, lambda x: x >= val), lambda x: F.struct(F.lit(seg).cast("byte").alias("seg"), x.alias("val"), (x == val).alias("same")))
-
-    looked = F.concat(*[near(k, p) for k, p in enumerate(parts)])
-    probes = fps.select("id", *extra, F.explode(looked).alias("e")).select(F.col("id").alias("pid"), *[x.alias("pfp") for x in extra], "e.seg", "e.val", "e.same")
+    table, probes = _entries(fps, words, segments, search), _lookups(fps, words, segments, ball, search)
+    probes = probes.withColumnsRenamed({"id": "pid", "fp": "pfp"} | ({group: "pgroup"} if group else {}))
     on = (F.col("p.seg") == F.col("t.seg")) & (F.col("p.val") == F.col("t.val")) & (~F.col("same") | (F.col("pid") < F.col("id")))
+    if group:
+        held = table.groupBy("seg", "val").agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
+        probes = probes.join(held, ["seg", "val"]).where((F.col("lo") != F.col("pgroup")) | (F.col("hi") != F.col("pgroup"))).drop("lo", "hi")
+        on = on & (F.col("pgroup") != F.col(group))
     if own:
         on = on & (distance(F.col("pfp"), F.col("fp"), words) <= radius)
+    else:
+        table, probes = table.drop("fp"), probes.drop("pfp")
     found = probes.alias("p").join(table.alias("t"), on).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
-    if own:
-        return found
-    left, right = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
-    return found.join(left, "a").join(right, "b").where(distance(F.col("fa"), F.col("fb"), words) <= radius).select("a", "b")
+    return found if own else _verified(found, fps, words, radius)
 
 
 def classes(fps: DataFrame, words: int, segments: int, radius: int, ball: int | None = None, search: str = "fp") -> DataFrame:
     """Rows of ``fps`` with component_id: the smallest id reachable over links, its own included.
 
     Equal fingerprints are first collapsed to their smallest id, so copies cost a
-    row each and no pairs. Rows without id get the component of their fingerprint
-    (null if all its rows lack ids). Rows that repeat an id stand for themselves: their
-    classes don't join through the id. An empty table gives an empty result.
+    row each and no pairs. Stars around the smallest ids join most of each large group;
+    then all links between what is still apart are found. Rows without id get the
+    component of their fingerprint (null if all its rows lack ids). Rows that repeat an
+    id stand for themselves: their classes don't join through the id. An empty table
+    gives an empty result.
     """
     rep = [F.min("id").alias("rep")] + ([F.min(search).alias(search)] if search != "fp" else [])
     distinct = materialize(fps.groupBy("fp").agg(*rep), "classes")
     nodes = distinct.where("rep IS NOT NULL").withColumnRenamed("rep", "id")
-    links = hamming_links(nodes, words, segments, radius, ball, search)
-    linked = components(links)
-    known = distinct.join(linked, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    starred = components(star_links(nodes, words, segments, radius, search))
+    grouped = materialize(nodes.join(starred, nodes.id == starred.node, "left").drop("node").withColumn("component", F.coalesce("component", "id")), "stars")
+    links = hamming_links(grouped, words, segments, radius, ball, search, "component")
+    of = grouped.select("id", "component")
+    joined = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    merged = components(joined.select("ca", "cb"))
+    final = grouped.join(merged.withColumnRenamed("component", "merged"), F.col("component") == F.col("node"), "left").select("fp", F.coalesce("merged", "component").alias("component_id"))
+    known = distinct.select("fp").join(final, "fp", "left")
     return fps.select("id", "fp").join(known, "fp")
 
 
