@@ -19,18 +19,25 @@ FIELD = "<*>"
 _SPACE = r"[\x20\x09\x0B-\x0D]+"
 
 
-def _tokens(line: Column) -> Column:
+def _masked(line: Column) -> Column:
+    """The line's tokens with fields masked, joined by single spaces.
+
+    Most lines are that already; only those with digits or odd white space are taken apart.
+    """
     words = F.filter(F.split(line, _SPACE), lambda t: t != "")
-    return F.transform(words, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    slow = F.concat_ws(" ", F.transform(words, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t)))
+    odd = line.rlike(r"[0-9\t\x0B-\x0D]|\x20\x20") | line.startswith(" ") | line.endswith(" ")
+    return F.when(odd, slow).otherwise(line)
 
 
 def _keyed_lines(df: DataFrame, id_col: str, text_col: str, least: int, leading: int) -> DataFrame:
-    """(id, line, toks, n, k1, k2, leaf): the lines of ``least`` tokens or more; k1 and k2 identify the masked line."""
+    """(id, line, masked, n, k1, k2, leaf): the lines of ``least`` tokens or more; k1 and k2 identify the masked line."""
     lines = df.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
-    toks = lines.select("id", "line", _tokens(F.col("raw")).alias("toks")).where(F.size("toks") >= least)
-    whole = F.concat_ws(" ", "toks")
-    leaf = F.xxhash64(F.size("toks"), F.concat_ws(" ", F.slice("toks", 1, leading)))
-    return toks.select("id", "line", "toks", F.size("toks").alias("n"), F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit("2"), whole).alias("k2"), leaf.alias("leaf"))
+    masked = lines.select("id", "line", _masked(F.col("raw")).alias("masked")).where("masked <> ''")
+    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
+    counted = masked.withColumn("n", n).where(F.col("n") >= least)
+    leaf = F.xxhash64("n", F.substring_index("masked", " ", leading))
+    return counted.select("id", "line", "masked", "n", F.xxhash64("masked").alias("k1"), F.xxhash64(F.lit("2"), "masked").alias("k2"), leaf.alias("leaf"))
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3, leading: int = 3, constant: float = 0.7, min_docs: int = 3) -> DataFrame:
@@ -40,13 +47,14 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are never dropped. Null texts have no lines, lines below ``least`` tokens no template.
     """
     seen = _keyed_lines(df, id_col, text_col, least, leading)
-    lines = materialize(seen.drop("toks"), "lines")
+    lines = materialize(seen.drop("masked"), "lines")
     by_doc = lines.groupBy("k1", "k2", "leaf", "n", "id").agg(F.lit(1).alias("one"))
     distinct = materialize(by_doc.groupBy("k1", "k2", "leaf", "n").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.max("id").alias("last")), "masked")
     leaves = distinct.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("total"), F.min("first").alias("first"), F.max("last").alias("last"))
     leaves = materialize(leaves.where((F.col("kinds") > 1) & (F.col("total") >= min_docs) & (F.col("first") < F.col("last"))).select("leaf", "total"), "leaves")
     # One row for each masked line of a leaf that may generalise.
-    shown = seen.select("k1", "k2", "leaf", "toks").join(leaves.select("leaf"), "leaf", "left_semi").groupBy("k1", "k2", "leaf").agg(F.first("toks").alias("toks"))
+    shown = seen.select("k1", "k2", "leaf", "masked").join(leaves.select("leaf"), "leaf", "left_semi").groupBy("k1", "k2", "leaf").agg(F.first("masked").alias("masked"))
+    shown = shown.select("k1", "k2", "leaf", F.split("masked", " ").alias("toks"))
     shown = materialize(shown.join(distinct.select("k1", "k2", "docs"), ["k1", "k2"]), "shown")
     votes = shown.select("leaf", "docs", F.posexplode("toks").alias("pos", "tok")).groupBy("leaf", "pos", "tok").agg(F.sum("docs").alias("docs"))
     fixed = votes.join(leaves, "leaf").where("2 * docs > total").groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("fixed"))
