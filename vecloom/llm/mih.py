@@ -116,18 +116,19 @@ def _verified(pairs: DataFrame, fps: DataFrame, words: int, radius: int) -> Data
 
 
 def star_links(fps: DataFrame, words: int, segments: int, radius: int, search: str = "fp") -> DataFrame:
-    """Pairs (a, b), a < b, within the radius, where a is the smallest id that shares a segment's value with b.
+    """Pairs (a, b), a < b, within the radius, where one end is the first or the last by a hash among those that share a segment's value.
 
-    At most ``segments`` pairs a row: few of the pairs there are, but mostly enough to
-    join a large group of near copies.
+    At most 2 * ``segments`` pairs a row: few of the pairs there are. The hash differs
+    by segment, so that a large group gets many centres, and mostly becomes one.
     """
     own = search == "fp"
     table = _entries(fps, words, segments, search)
-    first = table.groupBy("seg", "val").agg(F.min(F.struct("id", "fp") if own else F.struct("id")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = table.join(first, ["seg", "val"]).where(F.col("first.id") < F.col("id"))
+    rank = F.struct(F.xxhash64("id", "seg").alias("h"), "id", *(["fp"] if own else []))
+    ends = table.groupBy("seg", "val").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi")).where("lo.id <> hi.id")
+    met = table.join(ends, ["seg", "val"]).withColumn("c", F.explode(F.array("lo", "hi"))).where(F.col("c.id") != F.col("id"))
     if own:
-        met = met.where(distance(F.col("first.fp"), F.col("fp"), words) <= radius)
-    pairs = met.select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct()
+        met = met.where(distance(F.col("c.fp"), F.col("fp"), words) <= radius)
+    pairs = met.select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
     return pairs if own else _verified(pairs, fps, words, radius)
 
 
@@ -139,25 +140,24 @@ def hamming_links(fps: DataFrame, words: int, segments: int, radius: int, ball:
     be unique and not null. With ``group`` pairs of one group are left out, and values
     that only a row's own group has aren't looked up, so that a large group costs its
     rows and not its pairs. Each row makes segments * (half a ball) lookups of a few
-    bytes and ``segments`` table entries; the join's condition keeps non-pairs from
-    its output when fp itself is searched, else the fingerprints are joined
-    afterwards to the distinct candidates only.
+    bytes and ``segments`` table entries. Fingerprints are joined only to lookups that
+    can meet something, and distances verified in the join's own condition, so that
+    its output has nothing but pairs.
     """
     ball = radius // segments if ball is None else ball
     own = search == "fp"
-    table, probes = _entries(fps, words, segments, search), _lookups(fps, words, segments, ball, search)
+    table = _entries(fps, words, segments, search)
+    probes = _lookups(fps if own else fps.drop("fp"), words, segments, ball, search)
     probes = probes.withColumnsRenamed({"id": "pid", "fp": "pfp"} | ({group: "pgroup"} if group else {}))
     on = (F.col("p.seg") == F.col("t.seg")) & (F.col("p.val") == F.col("t.val")) & (~F.col("same") | (F.col("pid") < F.col("id")))
     if group:
         held = table.groupBy("seg", "val").agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
         probes = probes.join(held, ["seg", "val"]).where((F.col("lo") != F.col("pgroup")) | (F.col("hi") != F.col("pgroup"))).drop("lo", "hi")
         on = on & (F.col("pgroup") != F.col(group))
-    if own:
-        on = on & (distance(F.col("pfp"), F.col("fp"), words) <= radius)
-    else:
-        table, probes = table.drop("fp"), probes.drop("pfp")
-    found = probes.alias("p").join(table.alias("t"), on).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
-    return found if own else _verified(found, fps, words, radius)
+    if not own:
+        probes = probes.join(fps.select(F.col("id").alias("pid"), F.col("fp").alias("pfp")), "pid")
+    on = on & (distance(F.col("pfp"), F.col("fp"), words) <= radius)
+    return probes.alias("p").join(table.alias("t"), on).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
 
 
 def classes(fps: DataFrame, words: int, segments: int, radius: int, ball: int | None = None, search: str = "fp") -> DataFrame:
