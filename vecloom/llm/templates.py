@@ -30,12 +30,16 @@ def _masked(line: Column) -> Column:
     return F.when(odd, slow).otherwise(line)
 
 
-def _keyed_lines(df: DataFrame, id_col: str, text_col: str, least: int, leading: int) -> DataFrame:
-    """(id, line, masked, n, k1, k2, leaf): the lines of ``least`` tokens or more; k1 and k2 identify the masked line."""
+def _keyed_lines(df: DataFrame, id_col: str, text_col: str, least: int, leading: int, constant: float) -> DataFrame:
+    """(id, line, masked, n, k1, k2, leaf): the lines of ``least`` tokens or more, of which a share of ``constant`` aren't fields.
+
+    k1 and k2 identify the masked line.
+    """
     lines = df.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
     masked = lines.select("id", "line", _masked(F.col("raw")).alias("masked")).where("masked <> ''")
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    counted = masked.withColumn("n", n).where(F.col("n") >= least)
+    fields = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(FIELD), F.lit("")))  # three bytes each
+    counted = masked.withColumn("n", n).where((F.col("n") >= least) & (100 * fields <= 3 * round(100 * (1 - constant)) * F.col("n")))
     leaf = F.xxhash64("n", F.substring_index("masked", " ", leading))
     return counted.select("id", "line", "masked", "n", F.xxhash64("masked").alias("k1"), F.xxhash64(F.lit("2"), "masked").alias("k2"), leaf.alias("leaf"))
 
@@ -44,9 +48,10 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, line): 0-based lines to drop.
 
     Rows that share an id count as one document; lines of rows without id count but
-    are never dropped. Null texts have no lines, lines below ``least`` tokens no template.
+    are never dropped. Null texts have no lines; lines below ``least`` tokens, and those that
+    are mostly fields (such as rows of numbers), have no template.
     """
-    seen = _keyed_lines(df, id_col, text_col, least, leading)
+    seen = _keyed_lines(df, id_col, text_col, least, leading, constant)
     lines = materialize(seen.drop("masked"), "lines")
     by_doc = lines.groupBy("k1", "k2", "leaf", "n", "id").agg(F.lit(1).alias("one"))
     distinct = materialize(by_doc.groupBy("k1", "k2", "leaf", "n").agg(F.count("*").alias("docs"), F.min("id").alias("first"), F.max("id").alias("last")), "masked")
@@ -92,7 +97,8 @@ SQL = r"""
 WITH l AS MATERIALIZED (
   SELECT doc_id, k - 1 AS line, list_transform(list_filter(regexp_split_to_array(raw, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS toks
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents)),
-m AS MATERIALIZED (SELECT toks, len(toks) AS n, toks[1:3] AS head, count(DISTINCT doc_id) AS docs, min(doc_id) AS lo, max(doc_id) AS hi FROM l WHERE len(toks) >= 3 GROUP BY toks),
+m AS MATERIALIZED (SELECT toks, len(toks) AS n, toks[1:3] AS head, count(DISTINCT doc_id) AS docs, min(doc_id) AS lo, max(doc_id) AS hi FROM l WHERE len(toks) >= 3
+  AND 100 * (length(array_to_string(toks, ' ')) - length(replace(array_to_string(toks, ' '), '<*>', ''))) <= 90 * len(toks) GROUP BY toks),
 v AS MATERIALIZED (SELECT n, head, sum(docs) AS total FROM m GROUP BY n, head HAVING count(*) > 1 AND sum(docs) >= 3 AND min(lo) < max(hi)),
 f AS MATERIALIZED (SELECT n, head, list(pos) AS pos, list(tok) AS tok FROM (
     SELECT n, head, pos, tok FROM (SELECT m.n, m.head, m.docs, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM m SEMI JOIN v ON m.n = v.n AND m.head = v.head)
