@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import save
+
 SCHEMA = "merge_no long, left_id long, right_id long, height double, size long"
 
 
@@ -160,7 +162,7 @@ def cophenetic(tree: DataFrame, weight: str = "d2", limit: int = 5_000_000) -> D
         out = reach = step.select(F.col("u").alias("src"), F.col("v").alias("cur"), F.col("u").alias("prev"), "h")
         while reach.head(1):
             more = reach.alias("r").join(step.alias("s"), (F.col("r.cur") == F.col("s.u")) & (F.col("s.v") != F.col("r.prev")))
-            reach = more.select(F.col("r.src").alias("src"), F.col("s.v").alias("cur"), F.col("r.cur").alias("prev"), F.greatest("r.h", "s.h").alias("h")).checkpoint()
+            reach = save(more.select(F.col("r.src").alias("src"), F.col("s.v").alias("cur"), F.col("r.cur").alias("prev"), F.greatest("r.h", "s.h").alias("h")), "reach")
             out = out.unionByName(reach)
         return out.where("src < cur").select(F.col("src").alias("u"), F.col("cur").alias("v"), F.col("h").alias("height"))
     local = edges.toPandas()

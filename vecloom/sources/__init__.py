@@ -18,8 +18,8 @@ def points(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") ->
 
 def points_from_numpy(spark: SparkSession, matrix: np.ndarray) -> DataFrame:
     """points of a matrix's rows, ids by position."""
-    pdf = pd.DataFrame({"id": np.arange(len(matrix)), "features": list(np.asarray(matrix, dtype=np.float64))})
-    return spark.createDataFrame(pdf, "id long, features array<double>")
+    rows = list(enumerate(np.asarray(matrix, dtype=np.float64).tolist()))
+    return spark.createDataFrame(rows, "id long, features array<double>")
 
 
 def read_points(spark: SparkSession, path: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
