@@ -10,25 +10,28 @@ rest. It encodes other chunks whole.
 
 from __future__ import annotations
 
-import json
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 # Letters that composition leaves alone and whose lower case is one letter: U+00C0 to U+017E less signs and U+0130.
 _LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
 _PLAIN = re.compile(rf"[\x20-\x7e\t\n\r{_LATIN}]*")
 # The vocabulary file's pre-token pattern, for the characters of _PLAIN, and its mark of a word's end.
-_PRE_TOKEN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^\sa-z0-9{_LATIN}]+")
+_PRE_TOKEN = re.compile(rf"[a-z{_LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\sa-z0-9{_LATIN}]+")
 _WORD_END = "</w>"
-_MOST = 300_000  # pre-tokens and chunks that a worker remembers; beyond it starts anew, with equal results
-_GROUP = 1 << 20
+_MOST = 400_000  # words that a worker remembers; beyond it starts anew, with equal results
+_LONG = 100  # characters of a word to remember
 
 
 def _byte_letters() -> dict[str, int]:
@@ -38,25 +41,54 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-def whole_tokens(path: str) -> dict[str, int]:
+def whole_tokens(path: str, tok: Tokenizer | None = None) -> dict[str, int]:
     """Vocabulary strings proven to encode alone as their one token: {string: id}.
 
     Each string that can be a pre-token is encoded by the library itself.
     """
     from tokenizers import Tokenizer
 
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+    tok = tok or Tokenizer.from_file(path)
     letters, able = _byte_letters(), []
-    for s, i in vocab.items():
+    for s, i in tok.get_vocab(with_added_tokens=False).items():
         if s.endswith(_WORD_END):
             text = bytes(letters[c] for c in s[: -len(_WORD_END)]).decode("utf-8", "replace")
             if _PLAIN.fullmatch(text) and _PRE_TOKEN.fullmatch(text):
                 able.append((text, i))
-    encoded = Tokenizer.from_file(path).encode_batch([s for s, _ in able], add_special_tokens=False)
+    encoded = tok.encode_batch_fast([s for s, _ in able], add_special_tokens=False)
     return {s: i for (s, i), e in zip(able, encoded) if e.ids == [i]}
 
 
+class _Known(dict):
+    """Ids of plain texts' words (runs without white space).
+
+    Pre-tokens are whole tokens, or merged by the library's model and learnt when first
+    met; a word of several is put together from them.
+    """
+
+    def __init__(self, whole: dict[str, bytes], merge: Callable[[str], list]) -> None:
+        super().__init__(whole)
+        self.whole, self.merge = whole, merge
+        self.letter = {b: c for c, b in _byte_letters().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        parts = _PRE_TOKEN.findall(word)
+        if len(parts) > 1:
+            ids = b"".join([self[p] for p in parts])
+        else:
+            spelt = word if word.isascii() else "".join([self.letter[b] for b in word.encode()])
+            ids = array("I", [t.id for t in self.merge(spelt)]).tobytes()
+        if len(self) >= _MOST:
+            self.forget()
+        if len(word) <= _LONG:
+            self[word] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.update(self.whole)
+
+
 class Counter:
     """Ids of texts as little-endian 32-bit bytes; made once for a worker."""
 
@@ -65,51 +97,30 @@ class Counter:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.whole = {s: np.uint32(i).astype("<u4").tobytes() for s, i in whole_tokens(path).items()}
         self.special = tuple(x.content for x in self.tok.get_added_tokens_decoder().values())
-        ends = [i for s, i in self.tok.get_vocab(with_added_tokens=False).items() if s.endswith(_WORD_END)]
-        self.is_end = np.zeros(self.tok.get_vocab_size() + 1, dtype=bool)
-        self.is_end[ends] = True
-        self.known = dict(self.whole)  # pre-tokens of plain texts
-        self.chunks: dict[str, bytes] = {}  # others, encoded whole
+        whole = {s: array("I", [i]).tobytes() for s, i in whole_tokens(path, self.tok).items()}
+        self.known = _Known(whole, self.tok.model.tokenize)
+        self.chunks: dict[str, bytes] = {}  # other texts' chunks, encoded whole
 
     def forget(self) -> None:
         """Lets go of what this task has learnt; the worker may wait long for its next one."""
-        self.known, self.chunks = dict(self.whole), {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
-    def _merge(self, parts: list[str]) -> None:
-        """Learns pre-tokens that aren't whole tokens; many are encoded at a time, each up to its word end."""
-        for k in range(0, len(parts), 1000):
-            some = parts[k : k + 1000]
-            ids = self._encode(" ".join(some))
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) == len(some):
-                cuts, raw = [0, *(4 * ends).tolist()], ids.tobytes()
-                self.known.update((p, raw[a:b]) for p, a, b in zip(some, cuts, cuts[1:]))
-            else:  # not expected; one at a time is right in any case
-                self.known.update((p, self._encode(p).tobytes()) for p in some)
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts of plain characters."""
-        found = [_PRE_TOKEN.findall(t.lower()) for t in texts]
-        new = set().union(*found).difference(self.known)
-        if len(self.known) + len(new) > _MOST:
-            self.known = dict(self.whole)
-            new = set().union(*found).difference(self.known)
-        self._merge(list(new))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, parts)) for parts in found]
+        self.known.forget()
+        self.chunks = {}
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text of plain characters."""
+        return b"".join(map(self.known.__getitem__, text.lower().split()))
 
     def _chunk(self, chunk: str) -> bytes:
         if self._is_plain(chunk):
-            return self._plain([chunk])[0]
+            return self._plain(chunk)
         if chunk not in self.chunks:
             if len(self.chunks) >= _MOST // 10:
                 self.chunks.clear()
-            self.chunks[chunk] = self._encode(chunk).tobytes()
+            self.chunks[chunk] = self._encode(chunk)
         return self.chunks[chunk]
 
     def _is_plain(self, text: str) -> bool:
@@ -118,21 +129,12 @@ class Counter:
     def ids(self, text: str) -> bytes:
         """The text's ids, without added ones; special strings in it are their tokens, as by the library's default."""
         if self._is_plain(text):
-            return self._plain([text])[0]
+            return self._plain(text)
         return b"".join([self._chunk(c) for c in text.replace("\n", " ").split(" ")])
 
     def ids_of(self, texts: pa.Array) -> Iterator[bytes]:
-        """ids() of each text of an Arrow array, null as empty, about a million characters at a time."""
-        held: list[str] = []
-        size = 0
-        for k, x in enumerate(texts, 1):
-            held.append(x.as_py() or "")
-            size += len(held[-1])
-            if size >= _GROUP or k == len(texts):
-                plain = [self._is_plain(t) for t in held]
-                done = iter(self._plain([t for t, p in zip(held, plain) if p]))
-                yield from (next(done) if p else self.ids(t) for t, p in zip(held, plain))
-                held, size = [], 0
+        """ids() of each text of an Arrow array, null as empty."""
+        return (self.ids(x.as_py() or "") for x in texts)
 
 
 @lru_cache(maxsize=4)
