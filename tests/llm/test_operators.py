@@ -184,6 +184,23 @@ def test_token_counts_and_packing(spark):
     assert packing.pack(docs(spark, []), vocabulary_path()).count() == 0
 
 
+@pytest.mark.parametrize("most", [400_000, 33_330])
+def test_ids_of_random_texts(monkeypatch, most):
+    """As the library's, also where the memory of words is nearly always full."""
+    monkeypatch.setattr(tokens, "_MOST", most)
+    counter = tokens.Counter(vocabulary_path())
+    rng = np.random.default_rng(5)
+    alphabet = np.array(list("abcdeABCDE aeiou  \n\t\r''stlvemrd.,;-<|>019ÀéßñœŒžĦ") + ["<|endoftext|>", "'s", "'LL", "ŉ", "漢", "é", "K", "İ", "\u00a0", "\x1c", "x" * 150])
+    rare = len(alphabet) - 8  # these end the plain texts
+    for k in range(600):
+        text = "".join(rng.choice(alphabet[:rare] if k % 2 else alphabet, rng.integers(0, 300)))
+        want = counter.tok.encode(text, add_special_tokens=False).ids
+        assert counter.ids(text) == np.array(want, dtype="<u4").tobytes(), text
+        assert len(counter.known) <= most
+    counter.forget()
+    assert len(counter.known) == len(counter.known.whole)
+
+
 def test_packer_stays_bounded():
     p, out = packing.Packer(64), 0
     for k in range(5000):
