@@ -279,7 +279,7 @@ def bridged_msf_k1(spark, d):
 
 
 @query(f"{TREE_SQL} SELECT u, v, w AS d2 FROM tree")
-def hssl_rounds(spark, d):
+def searcher_rounds(spark, d):
     p = _points(spark, d)
     return mst.nearest_foreign_rounds(p, graph.undirected(knn.knn_graph(p, 1)))
 
