@@ -316,6 +316,22 @@ def test_keep_one_recall(spark):
     assert mih.keep_one(docs(spark, [])).count() == 0
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_keep_one_spares_families(spark):
+    rng = np.random.default_rng(11)
+    base, texts = prose(77, 300).split(), []
+    for k in range(60):
+        at = int(rng.integers(0, 267))
+        texts.append(" ".join(base[:at] + [f"own{k}x{j}" for j in range(33)] + base[at + 33 :]))
+    pairs = [(a, b) for b in range(60) for a in range(b) if jaccard(texts[a], texts[b]) >= 0.8]
+    want = union(60, pairs)
+    assert sorted(r.doc_id for r in mih.keep_one(docs(spark, texts)).collect()) == [k for k in range(60) if want[k] == k]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -10,7 +10,7 @@ larger, which halves the lookups and loses no pair.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -47,7 +47,7 @@ def set_fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 5, w
 
     def one(data: bytes | None) -> tuple[list[int], list[int]]:
         terms = hashing.word_hashes((data or b"").lower())
-        shingles = np.unique(hashing.shingle_hashes(terms, size))
+        shingles = shingle_set(data, size)
         blocks = [shingles[k : k + (1 << 16)] for k in range(0, len(shingles), 1 << 16)]
         unique, counts = np.unique(terms, return_counts=True)
         search = hashing.vote([unique], words, np.sqrt(counts))
@@ -63,6 +63,30 @@ def set_fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 5, w
     return slim.mapInArrow(run, "id long, fp array<long>, search array<long>")
 
 
+def shingle_set(data: bytes | None, size: int) -> np.ndarray:
+    """The distinct hashes of the lower-cased (A-Z) text's shingles, sorted."""
+    return np.unique(hashing.shingle_hashes(hashing.word_hashes((data or b"").lower()), size))
+
+
+def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(id, shingles): shingle_set() of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, shingles array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of the distinct pairs (a, b) whose sets (id, shingles) have a Jaccard similarity of ``least`` or more, counted exactly."""
+    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+    percent, na, nb = round(100 * least), F.size("sa"), F.size("sb")
+    sized = pairs.join(left, "a").join(right, "b").where(100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+    return sized.where((100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (na + nb)).select("a", "b").distinct()
+
+
 def distance(a: Column, b: Column, words: int) -> Column:
     """Hamming distance of two arrays of ``words`` 64-bit integers."""
     out = F.lit(0)
@@ -160,7 +184,7 @@ def hamming_links(fps: DataFrame, words: int, segments: int, radius: int, ball:
     return probes.alias("p").join(table.alias("t"), on).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
 
 
-def classes(fps: DataFrame, words: int, segments: int, radius: int, ball: int | None = None, search: str = "fp") -> DataFrame:
+def classes(fps: DataFrame, words: int, segments: int, radius: int, ball: int | None = None, search: str = "fp", verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
     """Rows of ``fps`` with component_id: the smallest id reachable over links, its own included.
 
     Equal fingerprints are first collapsed to their smallest id, so copies cost a
@@ -168,14 +192,14 @@ def classes(fps: DataFrame, words: int, segments: int, radius: int, ball: int |
     then all links between what is still apart are found. Rows without id get the
     component of their fingerprint (null if all its rows lack ids). Rows that repeat an
     id stand for themselves: their classes don't join through the id. An empty table
-    gives an empty result.
+    gives an empty result. Only pairs that ``verify`` returns are links.
     """
     rep = [F.min("id").alias("rep")] + ([F.min(search).alias(search)] if search != "fp" else [])
     distinct = materialize(fps.groupBy("fp").agg(*rep), "classes")
     nodes = distinct.where("rep IS NOT NULL").withColumnRenamed("rep", "id")
-    starred = components(star_links(nodes, words, segments, radius, search))
+    starred = components(verify(star_links(nodes, words, segments, radius, search)))
     grouped = materialize(nodes.join(starred, nodes.id == starred.node, "left").drop("node").withColumn("component", F.coalesce("component", "id")), "stars")
-    links = hamming_links(grouped, words, segments, radius, ball, search, "component")
+    links = verify(hamming_links(grouped, words, segments, radius, ball, search, "component"))
     of = grouped.select("id", "component")
     joined = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
     merged = components(joined.select("ca", "cb"))
@@ -196,10 +220,11 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return out.select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 44, words: int = 4, segments: int = 10) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, radius: int = 44, words: int = 4, segments: int = 10, least: float = 0.8) -> DataFrame:
     """Rows of ``df`` less near copies: of each class the row with the smallest id stays.
 
-    Fingerprints of 256 bits over the set of 5-word shingles decide; a Jaccard
+    Two texts are linked if the sets of their 5-word shingles have a Jaccard similarity
+    of ``least`` or more, counted exactly, and their fingerprints of 256 bits are near; a Jaccard
     similarity of 0.8 puts 39 of 256 bits apart on average (two sets of n shingles
     that share 8/9 n have cosine 8/9, an angle of 27.3 of 180 degrees), with a
     standard deviation of 6, so that 44 bits take in most such pairs. Candidates come
@@ -207,6 +232,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     id are all kept; repeated ids with texts of one class all stay or go together.
     """
     fps = materialize(set_fingerprints(df, id_col, text_col, size, words), "fps")
-    out = classes(fps, words, segments, radius, ball=1, search="search")
+    sets = materialize(shingle_sets(df.where(F.col(id_col).isNotNull()), id_col, text_col, size), "sets")
+    out = classes(fps, words, segments, radius, ball=1, search="search", verify=lambda pairs: similar(pairs, sets, least))
     gone = out.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
     return df.join(gone, id_col, "left_anti")
