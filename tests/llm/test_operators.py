@@ -332,6 +332,21 @@ def test_keep_one_spares_families(spark):
     assert sorted(r.doc_id for r in mih.keep_one(docs(spark, texts)).collect()) == [k for k in range(60) if want[k] == k]
 
 
+@pytest.mark.parametrize("least", [0.80, 0.85])
+def test_keep_one_recall_near_the_limit(spark, least):
+    texts, gone = [], []
+    for k in range(100):
+        words, new = prose(20_000 + k, 300).split(), [f"own{k}x{j}" for j in range(120)]
+        texts.append(" ".join(words))
+        changed = [lambda n: words + new[:n], lambda n: words[:100] + new[:n] + words[100 + n :]][k % 2]
+        n = max(n for n in range(1, 120) if jaccard(texts[-1], " ".join(changed(n))) >= least)
+        gone.append(len(texts))
+        texts.append(" ".join(changed(n)))
+    kept = {r.doc_id for r in mih.keep_one(docs(spark, texts)).collect()}
+    assert np.mean([k not in kept for k in gone]) >= 0.98
+    assert all(k in kept for k in range(len(texts)) if k not in gone)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
