@@ -225,6 +225,18 @@ def test_line_dedup(spark):
     assert templates.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_pipeline_drops_repeated_lines_without_template(spark):
+    import corpus_pipeline
+
+    lines = ["Posted on 2024-01-05 at 13:22", "Tel 555-0101 Fax 555-0102", "Chapter 12 ends", "Read more", "Home"]
+    texts = ["\n".join([f"{WORDS[k]} {WORDS[k + 3]} {WORDS[k + 6]}", *lines, "", f"{k} {k + 1} {k + 2}"]) for k in range(3)] + ["Home \n  Read  more\r", "Once 1"]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_template_lines(spark, docs(spark, texts), "").collect()}
+    assert got[0] == texts[0] and got[4] == texts[4] and got[3] == ""
+    assert got[1] == "beta epsilon theta\n\n1 2 3" and got[2] == "gamma zeta iota\n\n2 3 4"
+    twice = corpus_pipeline.drop_template_lines(spark, docs(spark, ["a 1\nRead more", "b 2\nRead more"]), "").collect()
+    assert sorted(r.text for r in twice) == ["a 1\nRead more", "b 2\nRead more"]
+
+
 def test_quality_held_out(spark):
     good = [prose(k) + "." for k in range(200)]
     bad = [prose(k).upper().replace(" ", "!! ") for k in range(100)] + [" ".join([w] * 20) for w in WORDS * 4]

@@ -6,6 +6,7 @@ a majority token are further fields; what stays constant is the leaf's template.
 A line's template is its leaf's, if that is constant enough and the line fits it,
 else the line itself with its fields masked. Lines whose template recurs in
 enough documents are dropped everywhere but in the document with the smallest id.
+Lines too short or with too many fields for a template may recur word for word.
 """
 
 from __future__ import annotations
@@ -48,8 +49,8 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, line): 0-based lines to drop.
 
     Rows that share an id count as one document; lines of rows without id count but
-    are never dropped. Null texts have no lines; lines below ``least`` tokens, and those that
-    are mostly fields (such as rows of numbers), have no template.
+    are never dropped. Null texts have no lines; lines below ``least`` tokens, and those with
+    more than 1 - ``constant`` fields (such as rows of numbers), have no template.
     """
     seen = _keyed_lines(df, id_col, text_col, least, leading, constant)
     lines = materialize(seen.drop("masked"), "lines")
@@ -75,9 +76,31 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lines.select("id", "line", "k1", "k2").join(recurring, ["k1", "k2"]).where("id <> keep").select("id", "line")
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``df`` with the recurring lines taken out of the text; other columns stay as they are."""
-    gone = dropped_lines(df, id_col, text_col, **options).groupBy("id").agg(F.collect_set("line").alias("_gone"))
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3) -> DataFrame:
+    """(id, line): lines that recur word for word in enough documents, whatever their length and fields, to drop from all but the smallest id.
+
+    Rows count as in dropped_lines(); blank lines don't count.
+    """
+    lines = df.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
+    words = F.filter(F.split("raw", _SPACE), lambda t: t != "")
+    odd = F.col("raw").rlike(r"[\t\x0B-\x0D]|\x20\x20") | F.col("raw").startswith(" ") | F.col("raw").endswith(" ")
+    lines = lines.select("id", "line", F.when(odd, F.concat_ws(" ", words)).otherwise(F.col("raw")).alias("text")).where("text <> ''")
+    lines = materialize(lines.select("id", "line", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("2"), "text").alias("k2")), "repeats")
+    by_doc = lines.groupBy("k1", "k2", "id").agg(F.lit(1).alias("one"))
+    often = by_doc.groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.min("id").alias("keep"), F.max("id").alias("last"))
+    often = often.where((F.col("docs") >= min_docs) & (F.col("keep") < F.col("last"))).select("k1", "k2", "keep")
+    return lines.join(often, ["k1", "k2"]).where("id <> keep").select("id", "line")
+
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True, **options) -> DataFrame:
+    """Rows of ``df`` with the recurring lines taken out of the text; other columns stay as they are.
+
+    Lines recur by their template and, with ``repeats``, word for word.
+    """
+    gone = dropped_lines(df, id_col, text_col, **options)
+    if repeats:
+        gone = gone.unionByName(repeated_lines(df, id_col, text_col))
+    gone = gone.groupBy("id").agg(F.collect_set("line").alias("_gone"))
     joined = df.join(gone.withColumnRenamed("id", "_id"), F.col(id_col).cast("long") == F.col("_id"), "left")
     kept = F.filter(F.split(F.col(text_col), "\n"), lambda _, k: ~F.array_contains("_gone", k))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
@@ -85,8 +108,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(id, n_lines, n_dropped, kept_text) for each row; the counts of a null text are 0."""
-    out = dedup_lines(df.select(id_col, text_col, F.col(text_col).alias("_old")), id_col, text_col, **options)
+    """(id, n_lines, n_dropped, kept_text) for each row, by templates alone as in SQL; the counts of a null text are 0."""
+    out = dedup_lines(df.select(id_col, text_col, F.col(text_col).alias("_old")), id_col, text_col, repeats=False, **options)
     lines = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(F.col(c), "\n")))
     kept = F.when((F.col(text_col) == "") & (F.col("_old") != ""), 0).otherwise(lines(text_col))
     return out.select(id_col, lines("_old").cast("long").alias("n_lines"), (lines("_old") - kept).cast("long").alias("n_dropped"), F.col(text_col).alias("kept_text"))
