@@ -237,6 +237,15 @@ def test_pipeline_drops_repeated_lines_without_template(spark):
     assert sorted(r.text for r in twice) == ["a 1\nRead more", "b 2\nRead more"]
 
 
+def test_pipeline_drops_long_lines_of_two_documents(spark):
+    import corpus_pipeline
+
+    long, short = (" ".join(f"{WORDS[j % 12]}x" for j in range(n)) for n in (50, 49))
+    texts = [f"a 1\n{long}\n{short}", f"b 2\n{long}\n{short}"]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_template_lines(spark, docs(spark, texts), "").collect()}
+    assert got == {0: texts[0], 1: f"b 2\n{short}"}
+
+
 def test_quality_held_out(spark):
     good = [prose(k) + "." for k in range(200)]
     bad = [prose(k).upper().replace(" ", "!! ") for k in range(100)] + [" ".join([w] * 20) for w in WORDS * 4]

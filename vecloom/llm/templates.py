@@ -76,19 +76,22 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return lines.select("id", "line", "k1", "k2").join(recurring, ["k1", "k2"]).where("id <> keep").select("id", "line")
 
 
-def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3) -> DataFrame:
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 3, long: int = 50) -> DataFrame:
     """(id, line): lines that recur word for word in enough documents, whatever their length and fields, to drop from all but the smallest id.
 
-    Rows count as in dropped_lines(); blank lines don't count.
+    Two documents are enough for lines of ``long`` words or more. Rows count as in
+    dropped_lines(); blank lines don't count.
     """
     lines = df.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
     words = F.filter(F.split("raw", _SPACE), lambda t: t != "")
     odd = F.col("raw").rlike(r"[\t\x0B-\x0D]|\x20\x20") | F.col("raw").startswith(" ") | F.col("raw").endswith(" ")
     lines = lines.select("id", "line", F.when(odd, F.concat_ws(" ", words)).otherwise(F.col("raw")).alias("text")).where("text <> ''")
-    lines = materialize(lines.select("id", "line", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("2"), "text").alias("k2")), "repeats")
-    by_doc = lines.groupBy("k1", "k2", "id").agg(F.lit(1).alias("one"))
-    often = by_doc.groupBy("k1", "k2").agg(F.count("*").alias("docs"), F.min("id").alias("keep"), F.max("id").alias("last"))
-    often = often.where((F.col("docs") >= min_docs) & (F.col("keep") < F.col("last"))).select("k1", "k2", "keep")
+    spaces = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit("")))
+    least = F.when(spaces + 1 >= long, F.least(F.lit(2), F.lit(min_docs))).otherwise(min_docs)
+    lines = materialize(lines.select("id", "line", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("2"), "text").alias("k2"), least.alias("least")), "repeats")
+    by_doc = lines.groupBy("k1", "k2", "least", "id").agg(F.lit(1).alias("one"))
+    often = by_doc.groupBy("k1", "k2", "least").agg(F.count("*").alias("docs"), F.min("id").alias("keep"), F.max("id").alias("last"))
+    often = often.where("docs >= least AND keep < last").select("k1", "k2", "keep")
     return lines.join(often, ["k1", "k2"]).where("id <> keep").select("id", "line")
 
 
