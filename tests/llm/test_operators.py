@@ -275,6 +275,15 @@ def test_page_text(spark):
     assert {r.page_id: r.text for r in pages.extract(spark.createDataFrame(many, "page_id long, url string, html string").repartition(5)).collect()} == {k: f"Text of page {k}" for k in range(60)}
 
 
+@pytest.mark.parametrize("page", [
+    "<main class='content no-sidebar'><p>The text</p></main>", "<div class='content with-sidebar'><p>The text</p></div>", "<article class='post comments-open'>The text</article>",
+    "<div class='story social-science'>The text</div>", "<div class='widget'><nav>Menu</nav><div class='ad'>Buy</div><article>The text</article></div><div class='ad'>Buy</div>", "<html><head><title>x</title><body><p>The text</p>",
+])
+def test_class_words_leave_articles(page):
+    found = pages.lines_of(page)
+    assert pages.main_text("".join(f for f, _ in found), [x for _, x in found], None) == "The text"
+
+
 def test_shared_lines():
     assert pages.shared_lines(list("abcxd"), list("axbcd")) == {0, 1, 2, 4}
     assert pages.shared_lines(["a"] * 3, ["a"] * 2) == {0, 1}

@@ -29,7 +29,7 @@ _NEVER = frozenset("nav footer aside form menu dialog button select option label
 _RAW = frozenset("script style noscript template textarea title xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody tfoot thead tr ul".split())
-_HINTS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adslot|banner|sponsor|sponsored|promo|promotion|sidebar|side|comment|comments|reply|replies|respond|disqus|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|contentinfo|complementary|search|dialog|alertdialog|skip)(?:$|[\s_-])", re.I)
+_HINTS = re.compile(r"(?:^|\s)(?:ad|ads|adv|advert|adverts|advertisement|advertising|adslot|banner|sponsor|sponsored|promo|promotion|sidebar|side|comment|comments|reply|replies|respond|disqus|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|footer|masthead|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|contentinfo|complementary|search|dialog|alertdialog|skip)(?:$|[\s_-])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 
@@ -37,13 +37,23 @@ MAIN, BODY, SKIP = "m", "b", "s"  # where a line stands; upper case if links mak
 
 
 def lines_of(html: str) -> list[tuple[str, str]]:
-    """(flag, line) for each block of a page, in order; white space is one space, references are decoded."""
+    """(flag, line) for each block of a page, in order; white space is one space, references are decoded.
+
+    Words in class, id or role hide neither <article> nor <main> nor what contains them,
+    and nothing on a page of which they would leave nothing.
+    """
+    out = _lines(html, True)
+    return out if any(f.lower() != SKIP for f, _ in out) else _lines(html, False)
+
+
+def _lines(html: str, hints: bool) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     text: list[str] = []
     linked = total = 0
     skip: list[str] = []  # the open element that hides what it holds, then elements of that name in it
     inside = link = 0
     opened: list[str] = []  # open <article> and <main>
+    mark: tuple | None = None  # the state before the element that words hide
 
     def flush() -> None:
         nonlocal linked, total
@@ -98,14 +108,26 @@ def lines_of(html: str) -> list[tuple[str, str]]:
             continue
         if name in _VOID or attrs.rstrip().endswith("/") and name not in _BLOCKS:
             continue
+        if name == "body" and skip and skip[0] == "head":
+            skip.clear()
+        if skip and mark and name in ("article", "main"):
+            pos, n, link, opened = mark
+            del out[n:]
+            skip.clear()
+            inside, mark = len(opened), None
+            continue
         if skip:
             if name == skip[0]:
                 skip.append(name)
             continue
-        if name in _NEVER or name == "header" and not inside or name not in ("html", "body") and _hidden(attrs):
+        mark = None
+        fixed = name in _NEVER or name == "header" and not inside or name not in ("html", "body") and _hidden(attrs, False)
+        hinted = hints and not fixed and name not in ("html", "body", "article", "main") and _hidden(attrs, True)
+        if fixed or hinted:
             if name not in _BLOCKS:
                 text.append(" ")
             flush()
+            mark = (pos, len(out), link, list(opened)) if hinted else None
             skip.append(name)
         elif name in ("article", "main"):
             opened.append(name)
@@ -114,12 +136,12 @@ def lines_of(html: str) -> list[tuple[str, str]]:
     return out
 
 
-def _hidden(attrs: str) -> bool:
+def _hidden(attrs: str, words: bool) -> bool:
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
-        if key == "style" and re.search(r"display\s*:\s*none", value, re.I) or key in ("class", "id", "role") and _HINTS.search(value):
+        if key == "style" and re.search(r"display\s*:\s*none", value, re.I) or words and key in ("class", "id", "role") and _HINTS.search(value):
             return True
     return False
 
