@@ -168,3 +168,14 @@ def test_kernel_bits(spark):
 
 def test_raster():
     assert dendrogram.draw_line(np.zeros((9, 9)), 0, 4, 8, 4)[4].min() > 0.9
+
+
+def test_bucketed_neighbours_of_a_hot_group(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal(16) + 0.1 * rng.standard_normal((4000, 16))
+    pts = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "id long, features array<double>")
+    d = block_d2(x, x)
+    np.fill_diagonal(d, np.inf)
+    want = {(k, int(j)) for k in range(4000) for j in np.argsort(d[k])[:5]}
+    got = {(r.src, r.dst) for r in knn.knn_graph_bucketed(pts, 5).select("src", "dst").collect()}
+    assert len(got & want) >= 0.9 * len(want), len(got & want) / len(want)

@@ -111,8 +111,8 @@ def knn_query(points: DataFrame, queries: DataFrame, k: int = 10, block: int = B
 def knn_graph_bucketed(points: DataFrame, k: int = 10, passes: int = 8, bits: int = 6, seed: int = 3, split: int = 512) -> DataFrame:
     """(src, dst, d2, rank) from random hyperplane buckets, exactly ranked: approximate, near-linear work.
 
-    Buckets above ``split`` points are cut by further hyperplanes first, then by
-    hash, so no task gets a bucket of unbounded size.
+    Buckets above ``split`` points are cut by hash into shares that are compared pair
+    by pair, so that no task gets a bucket of unbounded size and no pair of a bucket is left out.
     """
     dim = len(points.select("features").head(1)[0][0]) if points.head(1) else 1
     planes = np.random.default_rng(seed).standard_normal((passes * bits, dim)).round(4)
@@ -121,16 +121,21 @@ def knn_graph_bucketed(points: DataFrame, k: int = 10, passes: int = 8, bits: in
     codes = F.array(*[F.concat(F.lit(f"{p}:"), *[sign(planes[p * bits + b]) for b in range(bits)]) for p in range(passes)])
     rows = points.select("id", "features", F.explode(codes).alias("code"))
     sizes = rows.groupBy("code").agg(F.ceil(F.count("*") / split).cast("int").alias("shares"))
-    rows = rows.join(sizes, "code").withColumn("share", F.pmod(F.xxhash64("id", "code"), F.col("shares")))
+    rows = rows.join(sizes, "code").withColumn("own", F.pmod(F.xxhash64("id", "code"), F.col("shares")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
+    rows = rows.withColumn("cell", F.explode(cells)).select("code", "cell.i", "cell.j", "own", "id", "features")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["id"].to_numpy(), np.array(pdf["features"].tolist(), dtype=np.float64)
         d = block_d2(x, x)
         np.fill_diagonal(d, np.inf)
+        if pdf["i"].iat[0] != pdf["j"].iat[0]:
+            own = pdf["own"].to_numpy()
+            d[own[:, None] == own[None, :]] = np.inf  # another cell's
         r, c = _best(d, ids, k)
         return pd.DataFrame({"src": ids[r], "dst": ids[c], "d2": d[r, c]})
 
-    found = rows.groupBy("code", "share").applyInPandas(run, "src long, dst long, d2 double").where("src <> dst").distinct()
+    found = rows.groupBy("code", "i", "j").applyInPandas(run, "src long, dst long, d2 double").where("src <> dst").distinct()
     return _top(found, "src", k, "dst")
 
 
