@@ -281,7 +281,7 @@ def test_page_text(spark):
 ])
 def test_class_words_leave_articles(page):
     found = pages.lines_of(page)
-    assert pages.main_text("".join(f for f, _ in found), [x for _, x in found], None) == "The text"
+    assert pages.main_text("".join(f for f, _ in found), [x for _, x in found]) == "The text"
 
 
 def test_shared_lines():

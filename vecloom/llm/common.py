@@ -1,86 +1,22 @@
-"""Helpers shared by the corpus operators: shared scratch tables, ranges with halos, components."""
+"""Helpers shared by the corpus operators: shared scratch tables, ranges, cells of blocks, components."""
 
 from __future__ import annotations
 
-import atexit
-import bisect
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: dict[str, str] = {}
-_tables: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (local tests) a temporary one is made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="vecloom-")
-        spark.sparkContext.setCheckpointDir(_own_dir[app])
-    return _own_dir[app]
-
+from ..session import delete_path, release, save, scratch_path, shared_dir
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Deletes a path of any Hadoop file system."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+materialize = save
 
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/vecloom-{name}-{uuid.uuid4().hex}"
-    _tables.append((spark, path))
-    return path
-
-
-@atexit.register
-def _delete_all() -> None:
-    for spark, path in _tables:
-        try:
-            delete_path(spark, path)
-        except Exception:  # noqa: BLE001 - the JVM may be gone already
-            return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back.
-
-    This cuts lineage: executors lost later cost no recomputation, and the rows
-    are computed once, where ``checkpoint()`` computes its last stage twice.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def release(df: DataFrame | None) -> None:
-    """Deletes the table behind a DataFrame from materialize() that no plan needs any more."""
-    path = getattr(df, "scratch", None)
-    if path:
-        delete_path(df.sparkSession, path)
+__all__ = ["cells", "components", "delete_path", "materialize", "range_starts", "release", "scratch_path", "shared_dir", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _label(n: int, where: str) -> str:
-    return f"{where}{n}"
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected edge list by alternating star contractions.
 
     ``edges`` has two columns of one comparable type. Returns (node, component)
@@ -89,12 +25,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     round is a fixed number of equi-joins and aggregations whose joined sides AQE
     may split, so that a node with very many edges doesn't gather in one task; the
     edge list is rewritten each round to the shared folder and never exceeds the
-    number of edges plus nodes. Rounds grow with the logarithm of the longest path.
+    number of edges plus nodes. Rounds grow with the logarithm of the longest path;
+    they go on until the edge list stays, which is when every tree is a star.
     """
     a, b = edges.columns
     cur = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     cur, old, seen = materialize(cur, "edges"), None, None
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -111,32 +48,25 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(roots)
 
 
-def range_bounds(df: DataFrame, key: Column, parts: int, per_part: int = 64) -> list:
-    """At most parts-1 split keys, from a bounded hash-ordered sample of the keys.
+def range_starts(df: DataFrame, key: Column) -> list:
+    """Ascending keys that cut a table into ranges of like size: the smallest key of each.
 
-    The sample decides only where the ranges begin, never which rows are used.
+    Spark deals the keys alone to ranges; one key a range reaches the driver. Null
+    keys aren't looked at. The starts decide only where ranges begin, never which rows are used.
     """
-    rows = df.select(key.alias("k")).where("k IS NOT NULL")
-    sample = sorted(r.k for r in rows.orderBy(F.xxhash64("k", F.lit(11))).limit(parts * per_part).collect())
-    cuts = [sample[i * len(sample) // parts] for i in range(1, parts)] if sample else []
-    return sorted(set(cuts))
-
-
-def part_of(bounds: list) -> Callable[[object], int]:
-    """The range of a key: 0 below the first bound (and for null), else how many bounds are at most the key."""
-    return lambda k: 0 if k is None else bisect.bisect_right(bounds, k)
+    keys = df.select(key.alias("k")).where("k IS NOT NULL").repartitionByRange(shuffle_partitions(df.sparkSession), "k")
+    return sorted({r.low for r in keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("low")).collect()})
 
 
-def part_column(key: Column, bounds: list, kind: str) -> Column:
-    """part_of() as a column; the bounds are a literal array of one entry per range."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds]).cast(f"array<{kind}>")
-    # the bounds are sorted: counting those at most the key is its range
-    return F.coalesce(F.size(F.filter(arr, lambda x: x <= key)), F.lit(0))
+def cells(rows: DataFrame, keys: list[str], block: int, id_col: str = "id", least: int = 2) -> DataFrame:
+    """Rows of groups of ``least`` or more, dealt to pairs of blocks: columns i, j and own are added.
 
-
-def batches_to_rows(batches: Iterator, columns: list[str]) -> Iterator[tuple]:
-    """Rows of Arrow batches as tuples, a batch at a time."""
-    for batch in batches:
-        yield from zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
+    A group's rows are cut by a hash of ``id_col`` into blocks of about ``block``; cell
+    (i, j), i <= j, gets the rows with own = i or own = j. Each pair of a group's
+    rows meets in exactly one cell, and no cell grows with its group.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    sizes = sizes.select(*keys, F.ceil(F.col("_n") / block).cast("int").alias("_shares"))
+    dealt = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(id_col, F.lit(17)), F.col("_shares")).cast("int"))
+    both = F.transform(F.sequence(F.lit(0), F.col("_shares") - 1), lambda x: F.struct(F.least(F.col("own"), x).alias("i"), F.greatest(F.col("own"), x).alias("j")))
+    return dealt.withColumn("_cell", F.explode(both)).select(*rows.columns, "_cell.i", "_cell.j", "own")
