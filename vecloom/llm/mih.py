@@ -10,16 +10,17 @@ larger, which halves the lookups and loses no pair.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import batches_to_rows, components, materialize
+from .common import cells, components, materialize
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3) -> DataFrame:
@@ -57,8 +58,7 @@ def set_fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 5, w
         keys = hashing.mix(number)
         for column in least.reshape(bands, rows).T:
             keys = hashing.mix(keys * np.uint64(3) + column)
-        check = int(hashing.mix(shingles, 9).sum(dtype=np.uint64))
-        return [hashing.signed(x) for x in (*hashing.vote(blocks, words), check)], keys.view(np.int64).tolist()
+        return [hashing.signed(x) for x in (*hashing.vote(blocks, words), checksum(shingles))], keys.view(np.int64).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.int64())
@@ -76,14 +76,19 @@ def shingle_set(data: bytes | None, size: int) -> np.ndarray:
 
 
 def shingle_sets(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, shingles): shingle_set() of each row."""
+    """(id, check, shingles): shingle_set() of each row, and the checksum that set_fingerprints() gives it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), size).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+            checks = pa.array([hashing.signed(checksum(s)) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), checks, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "check", "shingles"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, shingles array<long>")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "id long, check long, shingles array<long>")
+
+
+def checksum(shingles: np.ndarray) -> int:
+    return int(hashing.mix(shingles, 9).sum(dtype=np.uint64))
 
 
 def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -119,94 +124,61 @@ def _segment(fp: Column, first: int, width: int) -> Column:
     return F.shiftleft(take(word, off, width - low), low).bitwiseOR(take(word + 1, 0, low))
 
 
-def _entries(fps: DataFrame, words: int, segments: int, search: str) -> DataFrame:
-    """The tables: a row (..., seg, val) for each segment of each fingerprint; without segments ``search`` holds the values."""
-    if not segments:
-        return fps.select(*[c for c in fps.columns if c != search], F.posexplode(search).alias("seg", "val"))
-    entry = F.array(*[F.struct(F.lit(k).cast("byte").alias("seg"), _segment(F.col(search), *p).alias("val")) for k, p in enumerate(cuts(words, segments))])
-    keep = [c for c in fps.columns if c != search or search == "fp"]
-    return fps.withColumn("e", F.explode(entry)).select(*keep, "e.seg", "e.val")
+def _entries(fps: DataFrame, segments: int, words: int) -> DataFrame:
+    """The tables: a row (..., seg, val) for each segment of each fingerprint."""
+    entry = F.array(*[F.struct(F.lit(k).cast("byte").alias("seg"), _segment(F.col("fp"), *p).alias("val")) for k, p in enumerate(cuts(words, segments))])
+    return fps.withColumn("e", F.explode(entry)).select(*fps.columns, "e.seg", "e.val")
 
 
-def _lookups(fps: DataFrame, words: int, segments: int, ball: int, search: str) -> DataFrame:
+def _lookups(fps: DataFrame, words: int, segments: int, ball: int) -> DataFrame:
     """A row (..., seg, val, same) for each value of a ball that isn't below the own one; same: it is the own one."""
     parts = cuts(words, segments)
     masks = {w: [sum(1 << x for x in c) for n in range(ball + 1) for c in combinations(range(w), n)] for w in {w for _, w in parts}}
 
     def near(seg: int, part: tuple[int, int]) -> Column:
-        val = _segment(F.col(search), *part)
+        val = _segment(F.col("fp"), *part)
         values = F.transform(F.array(*[F.lit(m).cast("long") for m in masks[part[1]]]), lambda m: val.bitwiseXOR(m))
         return F.transform(F.filter(values, lambda x: x >= val), lambda x: F.struct(F.lit(seg).cast("byte").alias("seg"), x.alias("val"), (x == val).alias("same")))
 
-    keep = [c for c in fps.columns if c != search or search == "fp"]
-    return fps.withColumn("e", F.explode(F.concat(*[near(k, p) for k, p in enumerate(parts)]))).select(*keep, "e.seg", "e.val", "e.same")
-
-
-def _verified(pairs: DataFrame, fps: DataFrame, words: int, radius: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose fp are within the radius."""
-    left, right = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa")), fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"))
-    return pairs.join(left, "a").join(right, "b").where(distance(F.col("fa"), F.col("fb"), words) <= radius).select("a", "b")
+    return fps.withColumn("e", F.explode(F.concat(*[near(k, p) for k, p in enumerate(parts)]))).select(*fps.columns, "e.seg", "e.val", "e.same")
 
 
-def star_links(fps: DataFrame, words: int, segments: int, radius: int, search: str = "fp") -> DataFrame:
+def star_links(fps: DataFrame, words: int, segments: int, radius: int) -> DataFrame:
     """Pairs (a, b), a < b, within the radius, where one end is the first or the last by a hash among those that share a segment's value.
 
     At most 2 * ``segments`` pairs a row: few of the pairs there are. The hash differs
     by segment, so that a large group gets many centres, and mostly becomes one.
     """
-    own = search == "fp"
-    table = _entries(fps, words, segments, search)
-    rank = F.struct(F.xxhash64("id", "seg").alias("h"), "id", *(["fp"] if own else []))
+    table = _entries(fps, segments, words)
+    rank = F.struct(F.xxhash64("id", "seg").alias("h"), "id", "fp")
     ends = table.groupBy("seg", "val").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi")).where("lo.id <> hi.id")
     met = table.join(ends, ["seg", "val"]).withColumn("c", F.explode(F.array("lo", "hi"))).where(F.col("c.id") != F.col("id"))
-    if own:
-        met = met.where(distance(F.col("c.fp"), F.col("fp"), words) <= radius)
-    pairs = met.select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
-    return pairs if own else _verified(pairs, fps, words, radius)
-
-
-def hamming_links(fps: DataFrame, words: int, segments: int, radius: int, ball: int | None = None, search: str = "fp", group: str | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of rows of (id, fp[, search][, group]) whose fp differ in at most ``radius`` bits.
-
-    Lookups use the segments of column ``search``. With search = fp and ``ball`` left
-    out every pair within the radius is found: ball is radius // segments. Ids must
-    be unique and not null. With ``group`` pairs of one group are left out, and values
-    that only a row's own group has aren't looked up, so that a large group costs its
-    rows and not its pairs. Each row makes segments * (half a ball) lookups of a few
-    bytes and ``segments`` table entries. Fingerprints are joined only to lookups that
-    can meet something, and distances verified in the join's own condition, so that
-    its output has nothing but pairs.
+    met = met.where(distance(F.col("c.fp"), F.col("fp"), words) <= radius)
+    return met.select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
+
+
+def hamming_links(fps: DataFrame, words: int, segments: int, radius: int, group: str | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of (id, fp[, group]) whose fp differ in at most ``radius`` bits: all of them.
+
+    Ids must be unique and not null. With ``group`` pairs of one group are left out, and
+    values that only a row's own group has aren't looked up, so that a large group costs
+    its rows and not its pairs. Each row makes segments * (half a ball) lookups of a few
+    bytes and ``segments`` table entries; distances are verified in the join's own
+    condition, so that its output has nothing but pairs.
     """
-    ball = radius // segments if ball is None else ball
-    own = search == "fp"
-    table = _entries(fps, words, segments, search)
-    probes = _lookups(fps if own else fps.drop("fp"), words, segments, ball, search)
+    table = _entries(fps, segments, words)
+    probes = _lookups(fps, words, segments, radius // segments)
     probes = probes.withColumnsRenamed({"id": "pid", "fp": "pfp"} | ({group: "pgroup"} if group else {}))
     on = (F.col("p.seg") == F.col("t.seg")) & (F.col("p.val") == F.col("t.val")) & (~F.col("same") | (F.col("pid") < F.col("id")))
     if group:
         held = table.groupBy("seg", "val").agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
         probes = probes.join(held, ["seg", "val"]).where((F.col("lo") != F.col("pgroup")) | (F.col("hi") != F.col("pgroup"))).drop("lo", "hi")
         on = on & (F.col("pgroup") != F.col(group))
-    if not own:
-        probes = probes.join(fps.select(F.col("id").alias("pid"), F.col("fp").alias("pfp")), "pid")
     on = on & (distance(F.col("pfp"), F.col("fp"), words) <= radius)
     return probes.alias("p").join(table.alias("t"), on).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
 
 
-def key_links(fps: DataFrame, words: int, radius: int) -> DataFrame:
-    """Pairs (a, b), a < b, of rows of (id, fp, search, component) that share a key of ``search``, not the component, and are within the radius.
-
-    Keys that only one component has are left out before fingerprints are fetched.
-    """
-    rows = _entries(fps.drop("fp"), words, 0, "search").drop("seg")
-    mixed = rows.groupBy("val").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("val")
-    met = rows.join(mixed, "val").join(fps.select("id", "fp"), "id")
-    on = (F.col("p.val") == F.col("t.val")) & (F.col("p.id") < F.col("t.id")) & (F.col("p.component") != F.col("t.component"))
-    on = on & (distance(F.col("p.fp"), F.col("t.fp"), words) <= radius)
-    return met.alias("p").join(met.alias("t"), on).select(F.col("p.id").alias("a"), F.col("t.id").alias("b")).distinct()
-
-
-def classes(fps: DataFrame, words: int, segments: int, radius: int, ball: int | None = None, search: str = "fp", verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+def classes(fps: DataFrame, words: int, segments: int, radius: int) -> DataFrame:
     """Rows of ``fps`` with component_id: the smallest id reachable over links, its own included.
 
     Equal fingerprints are first collapsed to their smallest id, so copies cost a
@@ -214,23 +186,31 @@ def classes(fps: DataFrame, words: int, segments: int, radius: int, ball: int |
     then all links between what is still apart are found. Rows without id get the
     component of their fingerprint (null if all its rows lack ids). Rows that repeat an
     id stand for themselves: their classes don't join through the id. An empty table
-    gives an empty result. With ``segments`` 0 the values of ``search`` are keys, to be
-    met as they are. Only pairs that ``verify`` returns are links.
+    gives an empty result.
     """
-    rep = [F.min("id").alias("rep")] + ([F.min(search).alias(search)] if search != "fp" else [])
-    distinct = materialize(fps.groupBy("fp").agg(*rep), "classes")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
     nodes = distinct.where("rep IS NOT NULL").withColumnRenamed("rep", "id")
-    starred = components(verify(star_links(nodes, words, segments, radius, search)))
-    grouped = materialize(nodes.join(starred, nodes.id == starred.node, "left").drop("node").withColumn("component", F.coalesce("component", "id")), "stars")
-    links = verify(hamming_links(grouped, words, segments, radius, ball, search, "component") if segments else key_links(grouped, words, radius))
-    of = grouped.select("id", "component")
-    joined = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    merged = components(joined.select("ca", "cb"))
-    final = grouped.join(merged.withColumnRenamed("component", "merged"), F.col("component") == F.col("node"), "left").select("fp", F.coalesce("merged", "component").alias("component_id"))
+    starred = components(star_links(nodes, words, segments, radius))
+    grouped = materialize(_grouped(nodes, starred), "stars")
+    links = hamming_links(grouped, words, segments, radius, "component")
+    final = _merged(grouped, links).select("fp", "component_id")
     known = distinct.select("fp").join(final, "fp", "left")
     return fps.select("id", "fp").join(known, "fp")
 
 
+def _grouped(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """Nodes with the component of table (node, component), else their own id."""
+    return nodes.join(known, nodes.id == known.node, "left").drop("node").withColumn("component", F.coalesce("component", "id"))
+
+
+def _merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of (id, component, ...) with component_id, once links (a, b) join their ends' components."""
+    of = grouped.select("id", "component")
+    joined = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    merged = components(joined.select("ca", "cb")).withColumnRenamed("component", "merged")
+    return grouped.join(merged, F.col("component") == F.col("node"), "left").withColumn("component_id", F.coalesce("merged", "component")).drop("merged", "node")
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
     """(id, fingerprint, component_id) for each row: 64-bit SimHash classes within ``radius`` bits.
 
@@ -243,6 +223,70 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     return out.select(F.col("id").alias(id_col), text.alias("fingerprint"), "component_id")
 
 
+def key_stars(nodes: DataFrame, words: int, radius: int) -> DataFrame:
+    """Pairs (a, b), a < b, of rows of (id, fp, search) within the radius, where a key of ``search`` is shared and one end is first by a hash among its rows.
+
+    At most a pair for each key of a row, mostly the same one: a group's first row is that of most of its keys.
+    """
+    table = nodes.select("id", "fp", F.explode("search").alias("val"))
+    first = table.groupBy("val").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "fp")).alias("c"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = table.join(first, "val").where((F.col("c.id") != F.col("id")) & (distance(F.col("c.fp"), F.col("fp"), words) <= radius))
+    return met.select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
+
+
+def key_links(grouped: DataFrame, sets: DataFrame, words: int, radius: int, least: float, block: int = 256) -> DataFrame:
+    """(a, b): links that join the components of rows of (id, fp, search, component) wherever two rows that share a key are similar.
+
+    Only keys that two components have are looked at. Their rows are dealt with their sets
+    (id, shingles) to cells of two blocks, where all pairs of different components meet:
+    those within the radius are compared exactly, each pair by the first key that it
+    shares. A cell returns a spanning forest of its links, never more rows than it holds.
+    """
+    percent = round(100 * least)
+    rows = grouped.select("id", "component", F.explode("search").alias("val"))
+    mixed = rows.groupBy("val").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("val")
+    dealt = cells(rows.join(mixed, "val"), ["val"], block)
+    dealt = dealt.join(grouped.select("id", "fp", "search"), "id").join(sets, "id")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        val, low, high = pdf["val"].iat[0], pdf["i"].iat[0], pdf["j"].iat[0]
+        pdf = pdf.sort_values(["component", "id"], kind="stable")
+        ids, comp, own = (pdf[c].to_numpy() for c in ("id", "component", "own"))
+        fp, keys = np.array(pdf["fp"].tolist(), dtype=np.int64)[:, :words], np.array(pdf["search"].tolist(), dtype=np.int64)
+        held = [np.asarray(x, dtype=np.int64).view(np.uint64) for x in pdf["shingles"]]
+        sizes = np.array([len(x) for x in held])
+        root = {int(c): int(c) for c in comp}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        out = []
+        for p in range(1, len(ids)):
+            q = np.flatnonzero((comp[:p] != comp[p]) & ((own[:p] != own[p]) if low != high else True))
+            q = q[np.bitwise_count((fp[q] ^ fp[p]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= radius]
+            q = q[100 * np.minimum(sizes[q], sizes[p]) >= percent * np.maximum(sizes[q], sizes[p])]
+            shared = keys[q] == keys[p]
+            q = q[keys[p][shared.argmax(axis=1)] == val] if len(q) else q
+            here = find(int(comp[p]))
+            q = np.array([k for k in q.tolist() if find(int(comp[k])) != here], dtype=np.int64)
+            if not len(q):
+                continue
+            flat, own_set = np.concatenate([held[k] for k in q]), held[p]
+            hit = own_set[np.minimum(np.searchsorted(own_set, flat), len(own_set) - 1)] == flat
+            common = np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes[q])[:-1])))
+            for k in q[(100 + percent) * common >= percent * (sizes[q] + sizes[p])].tolist():
+                one, two = find(int(comp[k])), find(int(comp[p]))
+                if one != two:
+                    root[max(one, two)] = min(one, two)
+                    out.append((min(ids[k], ids[p]), max(ids[k], ids[p])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return dealt.groupBy("val", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, radius: int = 64, words: int = 4) -> DataFrame:
     """Rows of ``df`` less near copies: of each class the row with the smallest id stays.
 
@@ -250,14 +294,24 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     of ``least`` or more, counted exactly. Candidates share one of 20 keys of six
     min-hashes (0.998 of the pairs at 0.8 do) and lie within 64 of 256 bits: 0.8 puts
     39 bits apart on average (two sets of n shingles that share 8/9 n have cosine
-    8/9, an angle of 27.3 of 180 degrees), with a standard deviation of 6. Rows with
-    null id are all kept; repeated ids with texts of one class all stay or go together.
+    8/9, an angle of 27.3 of 180 degrees), with a standard deviation of 6. First each
+    row is compared with the first of its keys' rows, which joins most copies; then all
+    candidates that are still in different classes. Texts without words are equal.
+    Rows with null id are all kept; rows that share an id go only if all of their texts are copies. Other columns, whatever their names, stay as they are; an empty table stays empty.
     """
     fps = materialize(set_fingerprints(df, id_col, text_col, size, words), "fps")
-    met = fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("id"), F.min("search").alias("search")).select("id", F.explode("search").alias("val"))
-    shared = met.groupBy("val").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("val")
-    ids = met.join(shared, "val").select(F.col("id").alias(id_col)).distinct()
-    sets = materialize(shingle_sets(df.select(id_col, text_col).join(ids, id_col, "left_semi"), id_col, text_col, size), "sets")
-    out = classes(fps, words, 0, radius, search="search", verify=lambda pairs: similar(pairs, sets, least))
-    gone = out.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti")
+    distinct = fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("search").alias("search"))
+    nodes = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "sets")
+    keys = nodes.select("id", "rep", F.explode("search").alias("val"))
+    shared = keys.groupBy("val").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("val")
+    reps = keys.join(shared, "val").select(F.col("rep").alias("_rep")).distinct()
+    some = df.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("_text")).join(reps, "_rep", "left_semi")
+    found = shingle_sets(some, "_rep", "_text", size).withColumnRenamed("id", "rep").join(nodes.select("id", "rep", F.col("fp")[words].alias("check")), ["rep", "check"])
+    sets = materialize(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
+    grouped = materialize(_grouped(nodes, components(similar(key_stars(nodes, words, radius), sets, least))), "stars")
+    links = materialize(key_links(grouped, sets, words, radius, least), "links")
+    final = _merged(grouped, links)
+    kept = final.groupBy("component_id").agg(F.min("rep").alias("kept"))
+    final = final.join(kept, "component_id").select("fp", "kept")
+    gone = fps.join(final, "fp").groupBy(F.col("id").alias("_gone")).agg(F.min(F.col("id") != F.col("kept")).alias("all_go")).where("all_go").select("_gone")
+    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
