@@ -5,12 +5,15 @@ another, each the index and sign of the largest of a few random projections.
 Sorted lexicographically by key, vectors of small angle come close, and every
 vector is compared with a bounded window of neighbours. Vectors that share a
 key's leading symbols are compared without bound: runs up to the window's length
-lie in one window, longer ones are cut into blocks and compared block by block.
-Verified pairs of all passes are united.
+lie in one window, longer ones are dealt to cells of two blocks. How many symbols
+lead grows with the table, so that runs of unlike vectors stay short, and so does the
+number of passes. Verified pairs of all passes are united: windows and cells return
+counts of links and spanning forests, so a group costs rows and not pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, shuffle_partitions
+from .common import cells, components, materialize, shuffle_partitions
 
 _BITS = 5  # of a symbol: 16 projections and a sign
 _SYMBOLS = 12  # of a key, packed into one long
@@ -54,15 +57,63 @@ def valid_vector(column: str):
     return F.coalesce(F.col(column).isNotNull() & finite & F.exists(column, lambda v: v != 0), F.lit(False))
 
 
-def near_pairs(reps: DataFrame, threshold: float = 0.95, passes: int = 14, window: int = 64, leading: int = 3, block: int = 256) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of rows of (id, vec array<double>) with cosine >= threshold.
+def plan_passes(n: int, window: int = 64) -> tuple[int, int]:
+    """(leading symbols, passes) for a table of ``n`` vectors.
 
-    Ids must be unique, vectors valid and distinct. Only vectors of equal length are
-    compared. No pair below the threshold is returned; pairs above it are found with
-    a probability that grows with ``passes`` (measured in the tests).
+    A run of unlike vectors has about n / 32 ** leading rows; leading is the least that
+    keeps it below a quarter of the window, 3 at least. Vectors at cosine 0.95 share a symbol
+    with probability 0.66 (measured), so that passes many enough leave out 1 in 130.
+    """
+    leading = 3
+    while n > window / 4 * 32**leading and leading < _SYMBOLS:
+        leading += 1
+    return leading, math.ceil(math.log(0.0077) / math.log(1 - 0.664**leading))
+
+
+class _Links:
+    """Links among rows as counts and a forest: (id, root, n) rows, n links of weight, root the smallest id joined to it."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+        self.count: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def add(self, a: np.ndarray, b: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> None:
+        ids, inv = np.unique(np.concatenate((a, b)), return_inverse=True)
+        sums = np.bincount(inv, weights=np.concatenate((wb, wa)), minlength=len(ids)).astype(np.int64)
+        for i, s in zip(ids.tolist(), sums.tolist()):
+            self.count[i] = self.count.get(i, 0) + s
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = self.find(x), self.find(y)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+
+    def rows(self) -> tuple[list, list, list]:
+        ids = list(self.count)
+        return ids, [self.find(i) for i in ids], [self.count[i] for i in ids]
+
+
+def near_links(reps: DataFrame, threshold: float = 0.95, passes: int | None = None, window: int = 64, leading: int | None = None, block: int = 256) -> DataFrame:
+    """(id, other, n): links of rows (id, vec array<double>, n) with cosine >= threshold, as sums.
+
+    ``n`` of a row of the result is the weight (column n of ``reps``) of rows that id links
+    with, to be summed by id; id and other are in one component. Each linked pair counts
+    once: pairs that share leading symbols in some pass are left to the first such
+    pass, where they meet for certain; others may meet in several windows and come as pairs
+    that are made distinct. Ids must be unique, vectors valid and distinct. Only vectors of
+    equal length are compared. No pair below the threshold counts; the share of pairs above it
+    that is found grows with ``passes`` (plan_passes() sets them by the table's size).
     """
     spark = reps.sparkSession
-    n = shuffle_partitions(spark)
+    parts = shuffle_partitions(spark)
+    rule = plan_passes(reps.count(), window)
+    leading, passes = leading or rule[0], passes or rule[1]
     mask = _BITS * (_SYMBOLS - leading)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,83 +124,84 @@ def near_pairs(reps: DataFrame, threshold: float = 0.95, passes: int = 14, windo
                 at = [k for k, v in enumerate(vecs) if len(v) == dim]
                 for k, row in zip(at, sort_keys(_unit([vecs[k] for k in at]), passes).tolist()):
                     keys[k] = row
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "vec", "keys"])
-
-    table = materialize(reps.select("id", "vec").mapInArrow(keyed, "id long, vec array<double>, keys array<long>"), "keys")
-    prefix = F.shiftright("key", mask)
-    slim = table.select(F.size("vec").alias("dim"), F.posexplode("keys").alias("pass", "key")).withColumn("prefix", prefix)
-    runs = slim.groupBy("dim", "pass", "prefix").agg(F.count("*").alias("n")).where(F.col("n") > window)
-    long_runs = materialize(runs.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n"), "runs")
-    rows = table.select("id", "vec", "keys", F.size("vec").alias("dim"), F.posexplode("keys").alias("pass", "key")).withColumn("prefix", prefix)
-    rows = rows.join(long_runs, ["dim", "pass", "prefix"], "left")
-
-    def linked(x: np.ndarray, keys: np.ndarray, ids: np.ndarray, y: np.ndarray, ykeys: np.ndarray, yids: np.ndarray, number: int, all_: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Verified pairs of rows of x and y; those that an earlier pass compares anyway are left to it."""
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.list_(pa.int64()))], names=["id", "vec", "n", "keys"])
+
+    table = materialize(reps.select("id", "vec", "n").mapInArrow(keyed, "id long, vec array<double>, n long, keys array<long>"), "keys")
+    group = ["dim", "pass", "prefix"]
+    slim = table.select(F.size("vec").alias("dim"), "id", F.posexplode("keys").alias("pass", "key")).withColumn("prefix", F.shiftright("key", mask))
+    long_runs = materialize(slim.groupBy(*group).agg(F.count("*").alias("rows")).where(F.col("rows") > window).drop("rows"), "runs")
+    rows = slim.join(long_runs.withColumn("long", F.lit(True)), group, "left")
+
+    def linked(x: np.ndarray, keys: np.ndarray, ids: np.ndarray, y: np.ndarray, ykeys: np.ndarray, yids: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Verified pairs (rows of x, rows of y) that this pass owns, and whether they share leading symbols in it."""
         i, j = np.nonzero(x @ y.T >= threshold - 1e-12)
-        if not len(i):
-            return i, j
         dots = np.einsum("ij,ij->i", x[i], y[j])  # one order of summation wherever a pair is met
         hit = (dots >= threshold) & (ids[i] != yids[j])
         i, j = i[hit], j[hit]
+        if not len(i):
+            return i, j, np.zeros(0, dtype=bool)
         same = (keys[i] >> mask) == (ykeys[j] >> mask)
         first = np.where(same.any(axis=1), same.argmax(axis=1), passes)
-        own = first == number if all_ else (first == number) | (first == passes)
-        return i[own], j[own]
+        own = (first == number) | (first == passes)
+        return i[own], j[own], first[own] == number
+
+    def result(links: _Links, pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        ids, roots, sums = links.rows()
+        for a, b in pairs:
+            ids, roots, sums = ids + np.minimum(a, b).tolist(), roots + np.maximum(a, b).tolist(), sums + [-1] * len(a)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, roots, sums)], names=["id", "other", "n"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Compares each row with the ``window`` rows before it, over rows sorted by (dim, pass, key)."""
         tail: tuple | None = None
         for batch in batches:
-            col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("id", "dim", "pass", "vec", "keys")}
-            ids, group = col["id"].to_numpy(), col["pass"].to_numpy().astype(np.int64) + (col["dim"].to_numpy().astype(np.int64) << 16)
-            vecs, keys = col["vec"].to_pylist(), np.array(col["keys"].to_pylist(), dtype=np.int64).reshape(len(ids), passes)
-            a_out, b_out = [], []
-            for g in dict.fromkeys(group.tolist()):
-                at = np.flatnonzero(group == g)
-                x, k, i = _unit([vecs[r] for r in at]), keys[at], ids[at]
+            col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("id", "dim", "pass", "vec", "keys", "n")}
+            ids, place = col["id"].to_numpy(), col["pass"].to_numpy().astype(np.int64) + (col["dim"].to_numpy().astype(np.int64) << 16)
+            vecs, keys, weight = col["vec"].to_pylist(), np.array(col["keys"].to_pylist(), dtype=np.int64).reshape(len(ids), passes), col["n"].to_numpy()
+            links, pairs = _Links(), []
+            for g in dict.fromkeys(place.tolist()):
+                at = np.flatnonzero(place == g)
+                x, k, i, w = _unit([vecs[r] for r in at]), keys[at], ids[at], weight[at]
+                new = 0
                 if tail is not None and tail[0] == g:
-                    x, k, i = np.concatenate((tail[1], x)), np.concatenate((tail[2], k)), np.concatenate((tail[3], i))
                     new = len(tail[3])
-                else:
-                    new = 0
+                    x, k, i, w = (np.concatenate(c) for c in zip(tail[1:], (x, k, i, w)))
                 for s in range(new, len(i), window):
                     low = max(0, s - window)
-                    p, q = linked(x[s : s + window], k[s : s + window], i[s : s + window], x[low : s + window], k[low : s + window], i[low : s + window], g & 0xFFFF, False)
-                    near = (s + p - (low + q) <= window) & (low + q < s + p)
-                    a_out.append(i[s + p[near]])
-                    b_out.append(i[low + q[near]])
-                tail = (g, x[-window:], k[-window:], i[-window:])
-            yield _pairs(a_out, b_out)
-
-    def _pairs(a_out: list, b_out: list) -> pa.RecordBatch:
-        a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for x in (a_out, b_out))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    short = rows.where("blocks IS NULL").drop("blocks")
+                    p, q, sure = linked(x[s : s + window], k[s : s + window], i[s : s + window], x[low : s + window], k[low : s + window], i[low : s + window], g & 0xFFFF)
+                    p, q = s + p, low + q
+                    near = (p - q <= window) & (q < p)
+                    one = near & sure
+                    links.add(i[p[one]], i[q[one]], w[p[one]], w[q[one]])
+                    pairs.append((i[p[near & ~sure]], i[q[near & ~sure]]))
+                tail = (g, x[-window:], k[-window:], i[-window:], w[-window:])
+            yield result(links, pairs)
+
+    short = rows.where("long IS NULL").drop("long").join(table, "id")
     # rows of one run of equal leading symbols stay in one range; a run is no longer than the window
-    ranged = short.repartitionByRange(n, "dim", "pass", "prefix").sortWithinPartitions("dim", "pass", "key", "id")
-    found = ranged.mapInArrow(windows, "a long, b long")
-
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi")))
-    long_ = rows.where("blocks IS NOT NULL").withColumn("own", own).withColumn("cell", F.explode(cells))
+    ranged = short.repartitionByRange(parts, *group).sortWithinPartitions("dim", "pass", "key", "id")
+    found = ranged.select("id", "dim", "pass", "vec", "keys", "n").mapInArrow(windows, "id long, other long, n long")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """All pairs between two blocks (or within one) of one run."""
-        number, lo, hi = int(pdf["pass"].iat[0]), pdf["lo"].iat[0], pdf["hi"].iat[0]
-        x, keys, ids = _unit(pdf["vec"].tolist()), np.array(pdf["keys"].tolist(), dtype=np.int64), pdf["id"].to_numpy()
-        one = (pdf["own"] == lo).to_numpy()
-        two = one if lo == hi else ~one
-        p, q = linked(x[one], keys[one], ids[one], x[two], keys[two], ids[two], number, True)
-        a, b = ids[one][p], ids[two][q]
-        if lo == hi:
-            a, b = a[a < b], b[a < b]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    blocks = long_.select("dim", "pass", "prefix", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), "own", "id", "vec", "keys")
-    found_in_runs = blocks.groupBy("dim", "pass", "prefix", "lo", "hi").applyInPandas(compare, "a long, b long")
-    # A pair that shares leading symbols in some pass is reported by the first such pass only; others may meet in several windows.
-    return found.unionByName(found_in_runs).distinct()
+        number, low, high = int(pdf["pass"].iat[0]), pdf["i"].iat[0], pdf["j"].iat[0]
+        x, keys, ids, w = _unit(pdf["vec"].tolist()), np.array(pdf["keys"].tolist(), dtype=np.int64), pdf["id"].to_numpy(), pdf["n"].to_numpy()
+        one = (pdf["own"] == low).to_numpy()
+        two = one if low == high else ~one
+        p, q, sure = linked(x[one], keys[one], ids[one], x[two], keys[two], ids[two], number)
+        once = sure & (ids[one][p] < ids[two][q]) if low == high else sure
+        links = _Links()
+        links.add(ids[one][p[once]], ids[two][q[once]], w[one][p[once]], w[two][q[once]])
+        return pd.DataFrame(dict(zip(("id", "other", "n"), links.rows()))).astype("int64")
+
+    dealt = cells(rows.where("long").drop("long", "key"), group, block).join(table, "id")
+    found_in_runs = dealt.groupBy(*group, "i", "j").applyInPandas(compare, "id long, other long, n long")
+    both = materialize(found.unionByName(found_in_runs), "links")
+    apart = both.where("n < 0").select("id", "other").distinct()
+    weight = table.select("id", F.col("n"))
+    weighed = apart.join(weight.withColumnRenamed("n", "na"), "id").join(weight.select(F.col("id").alias("other"), F.col("n").alias("nb")), "other")
+    ends = F.array(F.struct(F.col("id"), F.col("other"), F.col("nb").alias("n")), F.struct(F.col("other").alias("id"), F.col("id").alias("other"), F.col("na").alias("n")))
+    return both.where("n >= 0").unionByName(weighed.select(F.explode(ends).alias("e")).select("e.*"))
 
 
 def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, **options) -> DataFrame:
@@ -160,22 +212,20 @@ def near_dedup(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     they count with their number of rows. Rows that repeat an id are vectors of
     their own. component_id is the smallest id reachable over links; a row without
     id has its component's smallest id too (null if there is none) and isn't kept.
+    Other columns aren't read, whatever their names; an empty table gives no rows.
     """
     vec = F.transform(F.col(vec_col), lambda v: v.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
     rows = df.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec")).withColumn("ok", valid_vector("vec"))
     good, bad = rows.where("ok").drop("ok"), rows.where("NOT ok").select("id")
-    reps = good.groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("id", F.xxhash64("vec"))
+    reps = good.groupBy("vec").agg(F.min("id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id())
     reps = materialize(reps, "vectors")
-    pairs = materialize(near_pairs(reps.select("id", "vec"), threshold, **options), "pairs")
-    counts = reps.select("id", "n", "least")
-    one, two = counts.select(F.col("id").alias("a"), F.col("n").alias("na")), counts.select(F.col("id").alias("b"), F.col("n").alias("nb"))
-    weighed = pairs.join(one, "a").join(two, "b")
-    degrees = weighed.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("nb").alias("k")), F.struct(F.col("b").alias("id"), F.col("na").alias("k")))).alias("e")).groupBy("e.id").agg(F.sum("e.k").alias("others"))
-    linked = components(pairs)
-    known = counts.join(linked, F.col("id") == F.col("node"), "left").select("id", "n", "least", F.coalesce("component", "id").alias("group"))
-    known = known.join(degrees, "id", "left").select("id", "least", "group", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    links = materialize(near_links(reps.select("id", "vec", "n"), threshold, **options), "sums")
+    degrees = links.groupBy("id").agg(F.sum("n").alias("others"))
+    linked = components(links.select("id", "other").where("id <> other"))
+    known = reps.join(linked, F.col("id") == F.col("node"), "left").select("id", "vec", "n", "least", F.coalesce("component", "id").alias("group"))
+    known = known.join(degrees, "id", "left").select("vec", "least", "group", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     smallest = known.groupBy("group").agg(F.min("least").alias("component_id"))
-    known = known.join(smallest, "group").select(F.col("id").alias("key"), "n_links", "component_id")
-    out = good.select("id", F.xxhash64("vec").alias("key")).join(known, "key").select("id", "n_links", "component_id")
+    known = known.join(smallest, "group").select("vec", "n_links", "component_id")
+    out = good.join(known, "vec").select("id", "n_links", "component_id")
     out = out.unionByName(bad.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id")))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
