@@ -1,7 +1,7 @@
 """Quality classifier with hierarchical empirical Bayes over hosts and paths.
 
-A logistic regression on features of the whole text gives each document's own
-evidence. Its mean over a host (here a source) is shrunk toward the global mean,
+A logistic regression on features of the whole text, of its form and its hashed words
+and word pairs, gives each document's own evidence. Its mean over a host (here a source) is shrunk toward the global mean,
 and that over a path of the host (here a language of the source) toward the
 host's, with strengths estimated from how much hosts and paths really differ. A
 document's posterior odds are its likelihood ratio times its path's odds.
@@ -14,16 +14,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import hashing
 from .common import materialize
 
 SAMPLE = 20_000  # labelled rows that the classifier is fitted on at most, about
 _EDGE = 1e-6  # probabilities stay this far from 0 and 1
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
-FEATURES = 14
+FORM, CONTENT = 14, 512
+FEATURES = FORM + CONTENT
 
 
 def features(text: str | None) -> np.ndarray:
-    """Numbers that describe form, not content; an empty or null text gives zeros."""
+    """Numbers that describe the whole text's form, then the log counts of its hashed words and word pairs, of length 1; an empty or null text gives zeros."""
     data = (text or "").encode()
     words = data.split()
     if not words:
@@ -35,22 +37,27 @@ def features(text: str | None) -> np.ndarray:
     repeats = sum(map(bytes.__eq__, words, words[1:]))
     lines = data.split(b"\n")
     marks = sum(int(hist[ord(c)]) for c in "#$%&*@^~=<>{}[]\\_")
-    return np.array([
+    hashes = hashing.word_hashes(data.lower())
+    hashes = np.concatenate([hashes, hashing.shingle_hashes(hashes, 2)])
+    content = np.log1p(np.bincount((hashing.mix(hashes, 3) & np.uint64(CONTENT - 1)).astype(np.int64), minlength=CONTENT))
+    form = np.array([
         np.log1p(n), size / n / 10, hist[_UPPER].sum() / max(letters, 1), letters / size, hist[_DIGIT].sum() / size,
         min(hist[ord("!")] / n, 2), min(hist[ord("|")] / n, 2), min(marks / n, 4), min((hist[ord(".")] + hist[ord(",")]) / n, 2),
         distinct / n, np.log1p(distinct) - np.log1p(n) * 0.8, repeats / n, len(set(lines)) / len(lines), min(len(lines) / n * 10, 5),
     ])
+    return np.concatenate([form, content / np.sqrt((content * content).sum())])
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logistic regression by Newton's steps on standardised features: (mean, scale, weights with the intercept last)."""
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, content_ridge: float = 10.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logistic regression by Newton's steps, form standardised: (mean, scale, weights with the intercept last)."""
+    mean, scale = np.zeros(FEATURES), np.ones(FEATURES)
+    mean[:FORM], scale[:FORM] = x[:, :FORM].mean(axis=0), x[:, :FORM].std(axis=0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
-    keep = np.diag([ridge] * x.shape[1] + [1e-6])
+    keep = np.array([ridge] * FORM + [content_ridge] * CONTENT + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + keep, z.T @ (y - p) - keep @ w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(keep), z.T @ (y - p) - keep * w)
         w = w + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-6:
             break
@@ -69,18 +76,20 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     some = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(1_000_000)) < int(1_000_000 * share))
     some = some.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("double")).alias("_y"))
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
-    got = rows.select(_feature_udf()(F.col("_text")).alias("x"), "_y").toPandas()
+    got = rows.select(_feature_udf()(F.col("_text")).alias("x"), "_y").toPandas().sort_values(["_y", "x"])  # in one order, for one sum
     y = got["_y"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         good = (y.sum() + 1) / (len(y) + 2)
         return np.zeros(FEATURES), np.ones(FEATURES), np.array([0.0] * FEATURES + [np.log(good / (1 - good))])
-    return fit(np.array(got["x"].tolist()), (y > 0.5).astype(float))
+    return fit(np.frombuffer(b"".join(got["x"]), dtype="<f4").reshape(-1, FEATURES).astype(float), (y > 0.5).astype(float))
 
 
 def _feature_udf():
-    @F.arrow_udf("array<double>")
+    """The features as bytes of 32-bit floats: two kilobytes a row for the driver."""
+
+    @F.arrow_udf("binary")
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([features(t.as_py()).tolist() for t in text], pa.list_(pa.float64()))
+        return pa.array([features(t.as_py()).astype("<f4").tobytes() for t in text], pa.binary())
 
     return run
 
@@ -91,9 +100,8 @@ def score(model: tuple[np.ndarray, np.ndarray, np.ndarray], text: Column) -> Col
 
     @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
-        x = np.array([features(t.as_py()) for t in text]).reshape(-1, FEATURES)
-        p = 1 / (1 + np.exp(-np.clip(((x - mean) / scale) @ w[:-1] + w[-1], -30, 30)))
-        return pa.array(np.clip(p, _EDGE, 1 - _EDGE))
+        z = np.array([((features(t.as_py()) - mean) / scale * w[:-1]).sum() for t in text], dtype=float) + w[-1]
+        return pa.array(np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), _EDGE, 1 - _EDGE))
 
     return run(text)
 
@@ -129,25 +137,31 @@ def _posterior(overall: float) -> Column:
 
 
 def judged(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", label_col: str = "quality", least: float = 0.5) -> DataFrame:
-    """Rows of ``df`` with p_doc, p_host, p_path, p_quality and keep added.
+    """(row, p_doc, p_host, p_path, p_quality, keep): each row of ``df`` as a struct, so that no column's name can clash.
 
     Null hosts and paths count as ''. Null and empty texts have all features 0 and
     are judged like others. Rows that repeat an id are judged one by one; a label
-    given twice counts as good if one is. The texts are read three times and never
-    shuffled: once for the sample's features, once to sum evidence, once to judge.
+    given twice counts as good if one is. An empty table gives no rows. The texts are read
+    three times: once for the sample's features, once to sum evidence, once to judge.
+    They aren't shuffled while the table of hosts and paths, a few numbers each, is below the
+    session's broadcast threshold; beyond it rows are dealt by host and path, and AQE
+    splits what is hot.
     """
     model = train(df, labels, id_col, text_col, label_col)
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    posteriors, overall = path_table(df.select(key(host_col).alias("host"), key(path_col).alias("path"), score(model, F.col(text_col)).alias("p_doc")))
-    own = df.withColumns({"p_doc": score(model, F.col(text_col)), "_host": key(host_col), "_path": key(path_col)})
-    table = posteriors.withColumnsRenamed({"host": "_host", "path": "_path"})
-    return own.join(table, ["_host", "_path"]).withColumn("p_quality", _posterior(overall)).withColumn("keep", F.col("p_quality") >= least).drop("_host", "_path")
+    key = lambda c: F.coalesce(F.col("row")[c].cast("string"), F.lit(""))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    scored = rows.select("row", key(host_col).alias("host"), key(path_col).alias("path"), score(model, F.col("row")[text_col]).alias("p_doc"))
+    posteriors, overall = path_table(scored.select("host", "path", "p_doc"))
+    out = scored.join(posteriors, ["host", "path"]).withColumn("p_quality", _posterior(overall))
+    return out.select("row", "p_doc", "p_host", "p_path", "p_quality", (F.col("p_quality") >= least).alias("keep"))
 
 
-def report(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    return judged(df, labels, **options).select("doc_id", "p_doc", "p_host", "p_path", "p_quality", "keep")
+def report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """(id, p_doc, p_host, p_path, p_quality, keep) for each row."""
+    found = judged(df, labels, id_col, **options)
+    return found.select(F.col("row")[id_col].alias(id_col), "p_doc", "p_host", "p_path", "p_quality", "keep")
 
 
 def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that the classifier keeps, with the columns of ``df``."""
-    return judged(df, labels, **options).where("keep").select(*df.columns)
+    """The rows that the classifier keeps, with the columns of ``df``, whatever their names."""
+    return judged(df, labels, **options).where("keep").select(*[F.col("row")[c].alias(c) for c in df.columns])
