@@ -70,13 +70,15 @@ class ZipWriter:
         return bytes(out + struct.pack("<IHHHHIIH", 0x06054B50, 0, 0, n, n, size, start, 1))
 
 
-def _open(path: str):
-    """A random-access file, by pyarrow's file systems (local, hdfs, s3, gs, ...)."""
+def _open(path: str, content: bytes | None = None):
+    """A random-access file: by pyarrow's file systems (local, hdfs, s3, gs, abfs), or over content that Spark has read."""
     from pyarrow import fs
 
+    if content is not None:
+        return pa.BufferReader(content)
     if path.startswith("file:"):
         return fs.LocalFileSystem().open_input_file(unquote(re.sub("^file:/*", "/", path)))
-    where, name = fs.FileSystem.from_uri(path)
+    where, name = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
     return where.open_input_file(name)
 
 
@@ -156,15 +158,21 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     Of rows with equal payloads of at least ``least`` bytes the one with the largest id
     is a response and the others are revisits of it (rows that repeat that id are all
     responses); null html is an empty payload. Rows without id become responses unless
-    an equal payload has an id. Only digests are shuffled; the table of repeated ones
-    is joined by broadcast where its size is below the session's threshold, else by a
-    sort-merge join that AQE may split.
+    an equal payload has an id. Other columns aren't read, whatever their names; an empty
+    table writes no archive; a record is held whole by its task, however long.
+    Only digests are shuffled while the table of repeated ones, by which rows are
+    joined, is below the session's broadcast threshold. Beyond it rows are shuffled by
+    digest: payloads below ``least`` spread evenly there, since they can match nothing, and AQE splits
+    the rows of a popular one.
     """
     body = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), body.alias("html")).withColumn("digest", F.sha1("html"))
     repeated = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     repeated = materialize(repeated, "digests")
-    joined = rows.join(repeated, "digest", "left").select("id", "url", "html", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= least), F.col("first")).alias("refers"))
+    # payloads that are too short to be revisited have keys of their own, so that empty pages aren't one key
+    rows = rows.withColumn("match", F.when(F.octet_length("html") >= least, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "url").cast("string"))))
+    joined = rows.join(repeated.withColumnRenamed("digest", "match"), "match", "left")
+    joined = joined.select("id", "url", "html", "digest", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_, part, k = ZipWriter(zip64), TaskContext.get().partitionId(), 0
@@ -197,38 +205,55 @@ def write(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url
     joined.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, ranged: bool = True) -> DataFrame:
     """The records of all archives under ``path``: (page_id, url, record_type, refers_to, payload_digest, http, payload).
 
     payload_digest is the bare lower-case hex SHA-1 of the full payload; a revisit's
     payload is null. Archives are listed and their directories parsed by tasks; then
     members, a few megabytes each, are dealt out, and runs of neighbouring records
-    read by range. A response whose digest doesn't match fails the job.
+    read by range. A response whose digest doesn't match fails the job. Ranges are read by
+    pyarrow's file systems; for one that only Hadoop knows set ``ranged`` to False: Spark then
+    reads archives whole, one per task at a time, and everything else is the same.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").where("length > 0")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
+    files = files.select("path", "length", *([] if ranged else ["content"]))
+
+    def located(f, size: int) -> list[tuple[int, int, int]]:
+        """(start of the records, start and size of their index) of each pair of members."""
+        found = {n: (o, s) for n, o, s in directory(f, size)}
+        return [(o, *found[i]) for n, (o, s) in found.items() if n.startswith("archive/") and (i := f"indexes/{n[8:-5]}.jsonl") in found]
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with _open(name) as f:
-                    found = {n: (o, s) for n, o, s in directory(f, size)}
-                pairs = [(o, *found[i]) for n, (o, s) in found.items() if n.startswith("archive/") and (i := f"indexes/{n[8:-5]}.jsonl") in found]
+                    pairs = located(f, size)
                 cols = list(zip(*pairs)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(pairs), pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=["path", "start", "index", "index_size"])
 
+    def records_of(f, start: int, index: int, size: int) -> Iterator[pa.RecordBatch]:
+        ranges = [json.loads(x) for x in f.read_at(size, index).splitlines()]
+        at = 0
+        while at < len(ranges):
+            to, low = at + 1, ranges[at][0]
+            while to < len(ranges) and ranges[to][0] + ranges[to][1] - low <= RUN:
+                to += 1
+            block = f.read_at(ranges[to - 1][0] + ranges[to - 1][1] - low, start + low)
+            yield made([block[o - low : o - low + n] for o, n in ranges[at:to]])
+            at = to
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, start, index, size in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for name, *where in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 with _open(name) as f:
-                    ranges = [json.loads(x) for x in f.read_at(size, index).splitlines()]
-                    at = 0
-                    while at < len(ranges):
-                        to, low = at + 1, ranges[at][0]
-                        while to < len(ranges) and ranges[to][0] + ranges[to][1] - low <= RUN:
-                            to += 1
-                        block = f.read_at(ranges[to - 1][0] + ranges[to - 1][1] - low, start + low)
-                        yield made([block[o - low : o - low + n] for o, n in ranges[at:to]])
-                        at = to
+                    yield from records_of(f, *where)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size, content in zip(*(batch.column(k) for k in range(3))):
+                with _open(name.as_py(), content.as_py()) as f:
+                    for where in located(f, size.as_py()):
+                        yield from records_of(f, *where)
 
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes", "payload"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
@@ -246,9 +271,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             rows.append((_page(fields["warc-record-id"]), fields.get("warc-target-uri"), kind, _page(fields.get("warc-refers-to")), digest, length, payload if kind == "response" else None))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    located = files.mapInArrow(members, "path string, start long, index long, index_size long")
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-    return located.repartition(shuffle_partitions(spark)).mapInArrow(records, schema)
+    if not ranged:
+        return files.mapInArrow(whole, schema)
+    found = files.mapInArrow(members, "path string, start long, index long, index_size long")
+    return found.repartition(shuffle_partitions(spark)).mapInArrow(records, schema)
 
 
 def round_trip(df: DataFrame, **options) -> DataFrame:
