@@ -1,5 +1,5 @@
 """Operators for preparing large text corpora, each usable on its own DataFrames.
 
 Nothing outside this package imports it; ``queries.py`` holds the registered
-queries and ``pipeline_sql.py``/the operators' modules their SQL counterparts.
+queries, the operators' modules their SQL.
 """

@@ -28,7 +28,7 @@ def token_table(df: DataFrame, id_col: str, source_col: str, text_col: str) -> D
     return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), words.alias("n_tokens"))
 
 
-def _measures(alpha: float, top: float, low: float) -> list[Column]:
+def _measures(alpha: float) -> list[Column]:
     z = F.sum(F.exp(F.lit(alpha) * F.col("lnp")))
     s = F.sum(F.exp(F.lit(alpha) * F.col("lnp")) * F.col("lnp"))
     return [z, s]
@@ -49,7 +49,7 @@ def exponent(shares: DataFrame, entropy_gap: float, max_repeats: float, cover: b
     target = natural + entropy_gap * (math.log(first.n) - natural)
 
     def evaluate(alphas: list[float]) -> list[tuple[float, float]]:
-        row = shares.agg(*[m for a in alphas for m in _measures(a, first.hi, first.lo)]).first()
+        row = shares.agg(*[m for a in alphas for m in _measures(a)]).first()
         return [(row[2 * k], row[2 * k + 1]) for k in range(len(alphas))]
 
     def fits(alpha: float, z: float, s: float) -> bool:

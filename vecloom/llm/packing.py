@@ -3,8 +3,10 @@
 Each document is split into whole windows and a rest; the rest goes to the fill
 level (or a new window) that minimises the sum of squared counts of partially
 filled windows, kept in an array of counts by level. Every partition packs its
-own rows in order with bounded memory: too many open windows, and those left at
-the end, are closed by cutting the emptiest to fill the fullest.
+own rows in order with bounded memory: while as many windows are open as fit, the
+same rule chooses among the open ones alone, where a rest that is too long for a window
+fills it and the remainder is placed next. Windows left at the end are closed by cutting
+the emptiest to fill the fullest.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import tokens
 
-_OPEN = 1024  # open windows of a partition at most
+_OPEN = 1024  # open windows of a partition at most: 16 MB of ids
 
 
 class Packer:
@@ -37,10 +39,27 @@ class Packer:
         while n - at >= self.size:
             yield [(doc, at, ids[4 * at : 4 * (at + self.size)], n)]
             at += self.size
-        if at < n:
-            yield from self._place((doc, at, ids[4 * at :], n), n - at)
-        if self.n_open > _OPEN:
-            yield from self._settle(keep=_OPEN // 2)
+        while at < n:
+            rest = n - at
+            if self.n_open < _OPEN:
+                yield from self._place((doc, at, ids[4 * at :], n), rest)
+                break
+            take = self._open_level(rest)
+            used = min(rest, self.size - take)
+            window = self._take(take)
+            window.append((doc, at, ids[4 * at : 4 * (at + used)], n))
+            at += used
+            if take + used == self.size:
+                yield window
+            else:
+                self._put(take + used, window)
+
+    def _open_level(self, n: int) -> int:
+        """The open level at which up to n tokens raise the sum of squares least, of equal ones the fullest."""
+        levels = np.flatnonzero(self.count)
+        to = np.minimum(levels + n, self.size)
+        gain = 2 - 2 * self.count[levels] + np.where(to < self.size, 2 * self.count[to], -1)
+        return int(levels[gain == gain.min()][-1])
 
     def _place(self, piece: tuple, n: int) -> Iterator[list[tuple]]:
         count, size = self.count, self.size
@@ -129,7 +148,8 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     sequences never span partitions, a partition's last tokens fill sequences whose
     lengths are powers of two, so that no sequence needs padding. Order within a
     partition is that of its rows, so a task run again gives the same sequences.
-    Repeated rows are packed as often as they occur.
+    Repeated rows and rows that share an id are packed as often as they occur, null ids too.
+    Other columns aren't read, whatever their names; an empty table gives no pieces.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,7 +143,11 @@ def counter(path: str) -> Counter:
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) for each row, without a shuffle; a null text is empty (0 tokens)."""
+    """(id, n_bytes, n_tokens, over_limit) for each row, without a shuffle; a null text is empty (0 tokens).
+
+    Repeated rows, null and repeated ids give a row each. Other columns aren't read,
+    whatever their names; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
