@@ -22,16 +22,18 @@ _SPACE = r"[\x20\x09\x0B-\x0D]+"
 _SALTED = 500  # masked lines of a leaf that meet in a task
 
 
-def _masked(line: Column) -> tuple[Column, Column, Column]:
-    """The line's tokens joined by single spaces, the same with fields masked, and whether it has fields.
+def _masked(lines: DataFrame) -> DataFrame:
+    """(id, line, plain, masked, digits) of (id, line, raw): a line's tokens joined by single spaces, the same with fields masked, and whether it has fields.
 
-    Most lines are both already; only those with digits or odd white space are taken apart.
+    Most lines are both already, which one pattern tells; only those with digits or odd white
+    space are taken apart.
     """
-    words = F.filter(F.split(line, _SPACE), lambda t: t != "")
-    digits = line.rlike("[0-9]")
-    odd = line.rlike(r"[\t\x0B-\x0D]|\x20\x20") | line.startswith(" ") | line.endswith(" ")
+    raw = F.col("raw")
+    odd = raw.rlike(r"[0-9\t\x0B-\x0D]|\x20\x20") | raw.startswith(" ") | raw.endswith(" ")
+    words = F.filter(F.split("raw", _SPACE), lambda t: t != "")
     masked = F.concat_ws(" ", F.transform(words, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t)))
-    return F.when(odd, F.concat_ws(" ", words)).otherwise(line), F.when(digits | odd, masked).otherwise(line), digits
+    told = lines.withColumn("odd", odd)
+    return told.select("id", "line", F.when(F.col("odd"), F.concat_ws(" ", words)).otherwise(raw).alias("plain"), F.when(F.col("odd"), masked).otherwise(raw).alias("masked"), F.when(F.col("odd"), raw.rlike("[0-9]")).otherwise(False).alias("digits"))
 
 
 def _keyed_lines(df: DataFrame, id_col: str, text_col: str, least: int, leading: int, constant: float, long: int, min_docs: int) -> DataFrame:
@@ -42,8 +44,7 @@ def _keyed_lines(df: DataFrame, id_col: str, text_col: str, least: int, leading:
     recurring word for word differs from recurring by template; need is in how many documents.
     """
     lines = df.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "raw"))
-    plain, masked, digits = _masked(F.col("raw"))
-    cut = lines.select("id", "line", plain.alias("plain"), masked.alias("masked"), digits.alias("digits")).where("masked <> ''")
+    cut = _masked(lines).where("masked <> ''")
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
     fields = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(FIELD), F.lit("")))  # three bytes each
     counted = cut.withColumn("n", n).withColumn("able", (F.col("n") >= least) & (100 * fields <= 3 * round(100 * (1 - constant)) * F.col("n")))
