@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import materialize
 
-SAMPLE = 20_000  # labelled rows that the classifier is fitted on at most, about
+SAMPLE = 6_000  # labelled rows that the classifier is fitted on at most, about; the driver holds 2 KB of each
 _EDGE = 1e-6  # probabilities stay this far from 0 and 1
 _UPPER, _LOWER, _DIGIT = slice(65, 91), slice(97, 123), slice(48, 58)
 FORM, CONTENT = 14, 512
