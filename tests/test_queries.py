@@ -9,7 +9,6 @@ import pytest
 from vecloom.plans import queries as engine
 
 D = "/root/testdata/sf0.001"
-SLOW = {"expansion_fixpoint", "bridged_msf_k1", "searcher_rounds", "searcher_dendrogram", "index_dendrogram", "self_joined_dendrogram"}
 
 
 def canonical(df):
@@ -27,7 +26,7 @@ def con():
 
 
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test data")
-@pytest.mark.parametrize("name", sorted(set(engine.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(engine.oracle_sql()))
 def test_query_equals_sql(spark, name):
     got = canonical(engine.queries()[name](spark, D).toPandas())
     want = canonical(con().execute(engine.oracle_sql()[name]).df())

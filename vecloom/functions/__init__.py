@@ -35,12 +35,13 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
 def hash_uniform(id_: Column | str, salt: int = 0) -> Column:
     """A number in (0, 1) from an integer id by a multiplicative hash that any SQL engine can repeat."""
     x = F.col(id_) if isinstance(id_, str) else id_
-    return (F.pmod((x + F.lit(salt + 1)) * F.lit(2654435761), F.lit(4294967296)) + F.lit(0.5)) / F.lit(4294967296.0)
+    x = F.pmod(x.cast("long") + F.lit(salt + 1), F.lit(1 << 31))  # so that the product fits a long
+    return (F.pmod(x * F.lit(2654435761), F.lit(4294967296)) + F.lit(0.5)) / F.lit(4294967296.0)
 
 
-def random_level(u: Column, degree: int, max_layers: int) -> Column:
-    """Layer of a node whose uniform number is u: floor(-ln(u) / ln(degree)), below max_layers."""
-    return F.least(F.floor(-F.log(u) * F.lit(1.0 / float(np.log(degree)))), F.lit(max_layers - 1)).cast("int")
+def random_level(u: Column, degree: int, max_layers: int, norm: float | None = None) -> Column:
+    """Layer of a node whose uniform number is u: floor(-ln(u) * norm), below max_layers; norm is 1 / ln(degree) if not given."""
+    return F.least(F.floor(-F.log(u) * F.lit(1.0 / float(np.log(degree)) if norm is None else norm)), F.lit(max_layers - 1)).cast("int")
 
 
 def block_d2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -50,3 +51,10 @@ def block_d2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         diff = x[:, k, None] - y[None, :, k]
         out += diff * diff
     return out
+
+
+def near_d2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """All squared distances by one matrix product: fast, but rounded otherwise than squared_l2; good for choosing candidates."""
+    centre = x.mean(axis=0) if len(x) else 0.0
+    x, y = x - centre, y - centre
+    return np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T), 0.0)

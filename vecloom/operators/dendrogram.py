@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import save
@@ -20,12 +20,17 @@ SCHEMA = "merge_no long, left_id long, right_id long, height double, size long"
 
 
 def _fold(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """fn over the whole table, in one task; an empty table is folded too."""
+    names = df.columns
+    first = df.sparkSession.range(1, numPartitions=1).select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes], F.lit(False).alias("_row"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        if held:
-            yield fn(pd.concat(held, ignore_index=True))
+        held = [b[b["_row"]] for b in batches]
+        kinds = {c: t for c, t in df_kinds.items()}
+        yield fn(pd.concat(held, ignore_index=True)[names].astype(kinds))
 
-    return df.coalesce(1).mapInPandas(run, schema)
+    df_kinds = {c: {"bigint": "int64", "int": "int32", "double": "float64"}.get(t, "object") for c, t in df.dtypes}
+    return df.withColumn("_row", F.lit(True)).unionByName(first).coalesce(1).mapInPandas(run, schema)
 
 
 def _merge(u: np.ndarray, v: np.ndarray, h: np.ndarray, n: int) -> pd.DataFrame:
@@ -106,17 +111,19 @@ def first_points(dendrogram: DataFrame, n: int, keep: int) -> DataFrame:
 
 
 def flat_cut(dendrogram: DataFrame, n: int, k: int, min_size: int = 10) -> DataFrame:
-    """(id, cluster): from the root the highest cluster is split until there are k or none can be.
+    """(id, cluster): from the roots the highest cluster is split until there are k or none can be.
 
     A child stays a cluster if it is a merge of at least ``min_size`` points; others
-    become noise, -1. Labels follow ascending merges. Without any cluster all is noise.
+    become noise, -1. Labels follow ascending merges. Without any cluster all is noise. The
+    trees of a forest all start as clusters: of more than k none is split.
     """
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("merge_no")
         a, b, size = pdf["left_id"].to_numpy(), pdf["right_id"].to_numpy(), pdf["size"].to_numpy()
         height = np.lexsort((pdf["merge_no"], pdf["height"])).argsort()
-        clusters = {len(pdf) - 1} if len(pdf) else set()
+        below = set(a[a >= n] - n) | set(b[b >= n] - n)
+        clusters = {k for k in range(len(pdf)) if k not in below}
         while clusters and len(clusters) < k:
             top = max(clusters, key=lambda c: height[c])
             clusters.remove(top)
@@ -147,45 +154,79 @@ def largest_gap_cut(dendrogram: DataFrame) -> DataFrame:
     return _fold(dendrogram, fn, "k long, gap double")
 
 
-def cophenetic(tree: DataFrame, weight: str = "d2", limit: int = 5_000_000) -> DataFrame:
+def cophenetic(tree: DataFrame, weight: str = "d2", block: int = 1024) -> DataFrame:
     """(u, v, height) for all u < v that the forest joins: the largest weight's root on their path.
 
-    The output has n(n-1)/2 rows. Tasks each walk the tree from their own starting
-    points; the tree itself goes to all tasks while it has at most ``limit`` edges,
-    beyond which paths are found by joins, edge by edge.
+    The output has n(n-1)/2 rows. Merging is folded in one task, as for a dendrogram, and
+    laid out as a row of leaves: the height of two leaves is the largest gap between them
+    in the row. Gaps are a number a point; blocks of the row are paired, each pair of blocks in
+    a task with what lies between them as one maximum a block.
     """
-    spark = tree.sparkSession
     edges = tree.select("u", "v", F.sqrt(F.greatest(F.col(weight), F.lit(0.0))).alias("h"))
-    nodes = edges.select(F.col("u").alias("src")).unionByName(edges.select(F.col("v").alias("src"))).distinct()
-    if edges.count() > limit:
-        step = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "h"))
-        out = reach = step.select(F.col("u").alias("src"), F.col("v").alias("cur"), F.col("u").alias("prev"), "h")
-        while reach.head(1):
-            more = reach.alias("r").join(step.alias("s"), (F.col("r.cur") == F.col("s.u")) & (F.col("s.v") != F.col("r.prev")))
-            reach = save(more.select(F.col("r.src").alias("src"), F.col("s.v").alias("cur"), F.col("r.cur").alias("prev"), F.greatest("r.h", "s.h").alias("h")), "reach")
-            out = out.unionByName(reach)
-        return out.where("src < cur").select(F.col("src").alias("u"), F.col("cur").alias("v"), F.col("h").alias("height"))
-    local = edges.toPandas()
-    adj: dict[int, list[tuple[int, float]]] = {}
-    for u, v, h in zip(local["u"].tolist(), local["v"].tolist(), local["h"].tolist()):
-        adj.setdefault(u, []).append((v, h))
-        adj.setdefault(v, []).append((u, h))
-    shared = spark.sparkContext.broadcast(adj)
+    row = save(_fold(edges, _row_of, "pos long, id long, gap double"), "row")
+    own = row.withColumn("b", F.floor(F.col("pos") / block))
+    tops = save(own.groupBy("b").agg(F.max("gap").alias("top")), "tops")
+    # each block meets itself and every later one; mid is the largest gap of the blocks between
+    last = row.agg(F.coalesce(F.floor(F.max("pos") / block), F.lit(-1))).first()[0]
+    met = tops.select("b", F.explode(F.sequence(F.col("b"), F.lit(last))).alias("c")).join(tops.withColumnRenamed("b", "c"), "c")
+    before = Window.partitionBy("b").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
+    between = save(met.withColumn("mid", F.max(F.when(F.col("c") > F.col("b"), F.col("top"))).over(before)).select("b", "c", "mid"), "between")
+    left = between.select("b", "c", "mid", F.col("b").alias("k")).join(own.withColumnRenamed("b", "k"), "k").withColumn("first", F.lit(True))
+    right = between.where("b < c").select("b", "c", "mid", F.col("c").alias("k")).join(own.withColumnRenamed("b", "k"), "k").withColumn("first", F.lit(False))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        first, ids, gap = pdf["first"].to_numpy(), pdf["id"].to_numpy(), pdf["gap"].to_numpy()
+        if pdf["b"].iat[0] == pdf["c"].iat[0]:
+            i, j = np.triu_indices(len(ids), 1)
+            # running maxima of the gaps after each leaf
+            h = np.array([]) if len(ids) < 2 else np.concatenate([np.maximum.accumulate(gap[k + 1 :]) for k in range(len(ids) - 1)])
+            p, q = ids[i], ids[j]
+        else:
+            one, two = first, ~first
+            tail = np.maximum.accumulate(gap[one][::-1])[::-1]  # of leaf k: gaps k.. ; those after it start at k + 1
+            after = np.append(tail[1:], -np.inf)
+            head = np.maximum.accumulate(gap[two])
+            mid = pdf["mid"].iat[0]
+            h = np.maximum(np.maximum(after[:, None], head[None, :]), -np.inf if pd.isna(mid) else mid).ravel()
+            p, q = np.repeat(ids[one], two.sum()), np.tile(ids[two], one.sum())
+        ok = np.isfinite(h)  # an infinite gap parts two trees
+        return pd.DataFrame({"u": np.minimum(p, q)[ok], "v": np.maximum(p, q)[ok], "height": h[ok]})
+
+    return left.unionByName(right).groupBy("b", "c").applyInPandas(run, "u long, v long, height double")
+
+
+def _row_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Leaves of a forest in a row, so that two of them merge at the largest gap between them; gap is that to the leaf before."""
+    pdf = pdf.sort_values(["h", "u", "v"])
+    ids, inv = np.unique(np.concatenate((pdf["u"], pdf["v"])), return_inverse=True)
+    n, m = len(ids), len(pdf)
+    root, first, last = list(range(n)), list(range(n)), list(range(n))
+    after, gap = [-1] * n, np.full(n, np.inf)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near = shared.value
-        for pdf in batches:
-            for src in pdf["src"].tolist():
-                to, height, stack = [], [], [(src, -1, 0.0)]
-                while stack:
-                    x, prev, h = stack.pop()
-                    if x > src:
-                        to.append(x)
-                        height.append(h)
-                    stack += [(y, x, max(h, w)) for y, w in near[x] if y != prev]
-                yield pd.DataFrame({"u": src, "v": to, "height": height}).astype({"u": "int64", "v": "int64", "height": "float64"})
-
-    return nodes.repartition(max(1, spark.sparkContext.defaultParallelism), "src").mapInPandas(run, "u long, v long, height double")
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    size = [1] * n
+    for a, b, h in zip(inv[:m].tolist(), inv[m:].tolist(), pdf["h"].tolist()):
+        a, b = find(a), find(b)
+        after[last[a]], gap[first[b]] = first[b], h
+        top, low = (a, b) if size[a] >= size[b] else (b, a)
+        f, e = first[a], last[b]
+        root[low], size[top] = top, size[top] + size[low]
+        first[top], last[top] = f, e
+    order = []
+    for k in range(n):
+        if find(k) == k:
+            x = first[k]
+            while x >= 0:
+                order.append(x)
+                x = after[x]
+    order = np.array(order, dtype=np.int64)
+    return pd.DataFrame({"pos": np.arange(n), "id": ids[order].astype(np.int64), "gap": gap[order]})
 
 
 def layout(dendrogram: DataFrame, n: int, min_size: int = 1, larger_left: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform, random_level, squared_l2
-from ..session import save
+from ..session import release, save
 
 
 def with_distance(points: DataFrame, pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -139,10 +139,11 @@ def components(nodes: DataFrame, pool: DataFrame, limit: int = 2_000_000) -> Dat
         if not hook.head(1):
             return label
         while True:  # each hook goes to a smaller root; follow them to the end
-            jump = hook.alias("h").join(hook.select(F.col("id").alias("mid"), F.col("to").alias("far")), F.col("h.to") == F.col("mid"), "left")
+            jump = hook.select("id", "to").alias("h").join(hook.select(F.col("id").alias("mid"), F.col("to").alias("far")), F.col("h.to") == F.col("mid"), "left")
             longer = save(jump.select("id", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), "jumps")
             moved = longer.where("moved").head(1)
-            hook = longer.select("id", "to")
+            release(hook)
+            hook = longer
             if not moved:
                 break
         to = lambda c: hook.select(F.col("id").alias(c), F.col("to").alias("_" + c))
@@ -151,13 +152,32 @@ def components(nodes: DataFrame, pool: DataFrame, limit: int = 2_000_000) -> Dat
         edges = save(moved.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "left")
 
 
+def component_sizes(labels: DataFrame) -> DataFrame:
+    """(component, size) of labels(id, component)."""
+    return labels.groupBy("component").agg(F.count("*").alias("size"))
+
+
+def with_size(labels: DataFrame) -> DataFrame:
+    """(id, component, size): labels with the number of nodes that each is connected with, its own included."""
+    return labels.join(component_sizes(labels), "component").select("id", "component", "size")
+
+
+def are_connected(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (u, v) with connected: whether both ends are in one component."""
+    a, b = labels.select(F.col("id").alias("u"), F.col("component").alias("_a")), labels.select(F.col("id").alias("v"), F.col("component").alias("_b"))
+    return pairs.join(a, "u").join(b, "v").withColumn("connected", F.col("_a") == F.col("_b")).drop("_a", "_b")
+
+
 def is_connected(nodes: DataFrame, pool: DataFrame) -> bool:
     return components(nodes, pool).select("component").distinct().limit(2).count() <= 1
 
 
-def layers(points: DataFrame, degree: int = 50, max_layers: int = 10, salt: int = 0) -> DataFrame:
-    """(id, level): the layer that each point reaches, from a hash of its id; the smallest id reaches the top."""
-    level = random_level(hash_uniform("id", salt), degree, max_layers)
+def layers(points: DataFrame, degree: int = 50, max_layers: int = 10, salt: int = 0, norm: float | None = None) -> DataFrame:
+    """(id, level): the layer that each point reaches, from a hash of its id; the smallest id reaches the top.
+
+    ``norm`` takes the place of 1 / ln(degree), by which levels grow.
+    """
+    level = random_level(hash_uniform("id", salt), degree, max_layers, norm)
     rows = points.select("id", level.alias("level"))
     top = rows.agg(F.max("level").alias("top"), F.min("id").alias("least"))
     return rows.crossJoin(F.broadcast(top)).select("id", F.when(F.col("id") == F.col("least"), F.col("top")).otherwise(F.col("level")).cast("int").alias("level"))
@@ -169,13 +189,18 @@ def layer_sizes(levels: DataFrame) -> DataFrame:
 
 
 def random_edges(nodes: DataFrame, degree: int, salt: int = 5) -> DataFrame:
-    """(src, dst): up to ``degree`` pseudo-random neighbours of each node, never itself; nodes are dense ids 0..n-1."""
+    """(src, dst): ``degree`` distinct pseudo-random neighbours of each node (all others if they are fewer), never itself; nodes are dense ids 0..n-1.
+
+    A node's k-th neighbour lies a step away that is drawn from the k-th of ``degree`` equal shares of all steps.
+    """
     n = nodes.count()
     if n < 2:
         return nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
-    draws = nodes.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(1), F.lit(min(degree, n - 1)))).alias("k"))
-    dst = F.pmod(F.col("src") + 1 + F.pmod(F.xxhash64("src", "k", F.lit(salt)), F.lit(n - 1)), F.lit(n))
-    return draws.select("src", dst.cast("long").alias("dst")).distinct()
+    degree = min(degree, n - 1)
+    draws = nodes.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(degree - 1))).alias("k"))
+    low, high = F.floor(F.col("k") * F.lit(n - 1) / degree), F.floor((F.col("k") + 1) * F.lit(n - 1) / degree)
+    step = low + F.floor(hash_uniform(F.col("src") * degree + F.col("k"), salt) * (high - low))
+    return draws.select("src", F.pmod(F.col("src") + 1 + step, F.lit(n)).cast("long").alias("dst"))
 
 
 def fill_random_edges(points: DataFrame, edges: DataFrame, degree: int, salt: int = 5) -> DataFrame:
@@ -183,7 +208,7 @@ def fill_random_edges(points: DataFrame, edges: DataFrame, degree: int, salt: in
     extra = with_distance(points, random_edges(points, 2 * degree, salt)).join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
     old = edges.select("src", "dst", "d2").withColumn("old", F.lit(1))
     both = old.unionByName(extra.select("src", "dst", "d2").withColumn("old", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("old"), F.xxhash64("dst")))
+    rank = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("old"), hash_uniform("dst", salt), "dst"))
     return both.withColumn("_r", rank).where((F.col("old") == 1) | (F.col("_r") <= degree)).select("src", "dst", "d2")
 
 
@@ -194,16 +219,16 @@ def extend_random_edges(points: DataFrame, edges: DataFrame, more: int, salt: in
 
 def random_pairs(n_ids: int, n: int, spark, seed: int = 1) -> DataFrame:
     """(a, b): n pseudo-random pairs of ids below n_ids; loops and repeats may occur."""
-    draw = lambda s: F.pmod(F.xxhash64("id", F.lit(s)), F.lit(n_ids)).cast("long")
+    draw = lambda s: F.floor(hash_uniform("id", s) * n_ids).cast("long")
     return spark.range(n).select(draw(seed).alias("a"), draw(seed + 1).alias("b"))
 
 
 def sample_except(nodes: DataFrame, n: int, but: int, salt: int = 1) -> DataFrame:
     """n distinct ids other than ``but``, or all there are, in hash order."""
-    return nodes.where(F.col("id") != but).orderBy(F.xxhash64("id", F.lit(salt)), "id").limit(n).select("id")
+    return nodes.where(F.col("id") != but).orderBy(hash_uniform("id", salt), "id").limit(n).select("id")
 
 
 def sample_components(labels: DataFrame, n: int, salt: int = 1) -> DataFrame:
     """Up to n points of each component, by hash."""
-    rank = F.row_number().over(Window.partitionBy("component").orderBy(F.xxhash64("id", F.lit(salt)), "id"))
+    rank = F.row_number().over(Window.partitionBy("component").orderBy(hash_uniform("id", salt), "id"))
     return labels.withColumn("_r", rank).where(F.col("_r") <= n).drop("_r")

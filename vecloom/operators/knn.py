@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import block_d2
+from ..functions import block_d2, near_d2
+from ..session import save
 
 BLOCK = 1024  # points of a block; a task holds two
+SMALL = 512  # points of a bucket
 
 
 def _cells(left: DataFrame, right: DataFrame | None, fn: Callable, schema: str, block: int) -> DataFrame:
@@ -108,45 +111,80 @@ def knn_query(points: DataFrame, queries: DataFrame, k: int = 10, block: int = B
     return _top(_cells(queries.withColumnRenamed("qid", "id"), points, fn, "qid long, id long, d2 double", block), "qid", k, "id")
 
 
-def knn_graph_bucketed(points: DataFrame, k: int = 10, passes: int = 8, bits: int = 6, seed: int = 3, split: int = 512) -> DataFrame:
+def knn_graph_bucketed(points: DataFrame, k: int = 10, passes: int = 12, bits: int | None = None, seed: int = 3, block: int = SMALL) -> DataFrame:
     """(src, dst, d2, rank) from random hyperplane buckets, exactly ranked: approximate, near-linear work.
 
-    Buckets above ``split`` points are cut by hash into shares that are compared pair
-    by pair, so that no task gets a bucket of unbounded size and no pair of a bucket is left out.
+    Hyperplanes go through the points' mean. Their number ``bits`` grows with the table
+    so that a bucket of evenly spread points holds about ``block`` of them; up to ``block`` points are one
+    bucket, and the result is exact. Buckets above ``block`` points are cut by hash into shares that are
+    compared pair by pair, so that no task gets a bucket of unbounded size and no pair of a bucket is
+    left out. Each bucket keeps k candidates a point.
     """
-    dim = len(points.select("features").head(1)[0][0]) if points.head(1) else 1
-    planes = np.random.default_rng(seed).standard_normal((passes * bits, dim)).round(4)
-    dot = lambda w: F.aggregate(F.zip_with("features", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    sign = lambda w: F.when(dot(w) >= 0, "1").otherwise("0")
-    codes = F.array(*[F.concat(F.lit(f"{p}:"), *[sign(planes[p * bits + b]) for b in range(bits)]) for p in range(passes)])
-    rows = points.select("id", "features", F.explode(codes).alias("code"))
-    sizes = rows.groupBy("code").agg(F.ceil(F.count("*") / split).cast("int").alias("shares"))
+    n = points.count()
+    bits = max(0, math.ceil(math.log2(max(n, 1) / block))) if bits is None else bits
+    if n <= block:
+        return knn_graph(points, k)
+    dim = len(points.select("features").head(1)[0][0])
+    mean = np.array(points.select([F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(dim)]).first(), dtype=np.float64)
+    planes = np.random.default_rng(seed).standard_normal((passes * max(bits, 1), dim))
+    powers = 1 << np.arange(bits, dtype=np.int64)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) - mean
+            sides = (x @ planes.T >= 0).reshape(len(x), passes, -1)[:, :, :bits]
+            codes = (sides * powers).sum(axis=2) + (np.arange(passes, dtype=np.int64) << 40)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(codes), pa.list_(pa.int64()))], names=["id", "features", "codes"])
+
+    table = save(points.select("id", "features").mapInArrow(coded, "id long, features array<double>, codes array<long>"), "codes")
+    rows = table.select("id", "features", F.explode("codes").alias("code"))
+    sizes = rows.groupBy("code").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
     rows = rows.join(sizes, "code").withColumn("own", F.pmod(F.xxhash64("id", "code"), F.col("shares")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
     rows = rows.withColumn("cell", F.explode(cells)).select("code", "cell.i", "cell.j", "own", "id", "features")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, x = pdf["id"].to_numpy(), np.array(pdf["features"].tolist(), dtype=np.float64)
-        d = block_d2(x, x)
+        d = near_d2(x, x)
         np.fill_diagonal(d, np.inf)
         if pdf["i"].iat[0] != pdf["j"].iat[0]:
             own = pdf["own"].to_numpy()
             d[own[:, None] == own[None, :]] = np.inf  # another cell's
-        r, c = _best(d, ids, k)
-        return pd.DataFrame({"src": ids[r], "dst": ids[c], "d2": d[r, c]})
+        r, c = _nearest(d, k)
+        return pd.DataFrame({"src": ids[r], "dst": ids[c], "d2": ((x[r] - x[c]) ** 2).sum(axis=1)})
 
-    found = rows.groupBy("code", "i", "j").applyInPandas(run, "src long, dst long, d2 double").where("src <> dst").distinct()
-    return _top(found, "src", k, "dst")
+    found = rows.groupBy("code", "i", "j").applyInPandas(run, "src long, dst long, d2 double").where("src <> dst")
+    first = found.groupBy("src", "dst").agg(F.min("d2").alias("d2"))
+    best = _top(first, "src", 2 * k, "dst").drop("rank", "d2")
+    from .graph import with_distance
 
+    return _top(with_distance(points, best), "src", k, "dst")  # once more in exact sums
+
+
+def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the columns of the k smallest finite numbers: (row, column)."""
+    k = min(k, d.shape[1])
+    part = np.argpartition(d, k - 1, axis=1)[:, :k]
+    rows, cols = np.repeat(np.arange(len(d)), k), part.ravel()
+    ok = np.isfinite(d[rows, cols])
+    return rows[ok], cols[ok]
 
-def knn_local_join(points: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
-    """(src, dst, d2, rank): each point's neighbours among its neighbours and theirs, ranked anew."""
-    from .graph import with_distance
 
-    e = edges.select("src", "dst")
-    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    hop = both.alias("a").join(both.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
-    return _top(with_distance(points, both.unionByName(hop).where("src <> dst").distinct()), "src", k, "dst")
+def knn_local_join(points: DataFrame, edges: DataFrame, k: int = 10, most: int | None = None) -> DataFrame:
+    """(src, dst, d2, rank): each point's neighbours among its neighbours and theirs, ranked anew.
+
+    A point is joined with the ``most`` (2k) nearest of those it points to or that point to
+    it, so that a hub costs no more than others; with those it meets what any of them
+    points to itself, of which there are k.
+    """
+    from .graph import cap_degree, with_distance
+
+    e = edges.select("src", "dst", "d2")
+    both = cap_degree(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "d2")).distinct(), most or 2 * k).select("src", "dst")
+    near = cap_degree(e.distinct(), most or 2 * k).select("src", "dst")
+    hop = both.alias("a").join(near.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src").alias("src"), F.col("b.dst").alias("dst"))
+    back = near.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return _top(with_distance(points, near.unionByName(back).unionByName(hop).where("src <> dst").distinct()), "src", k, "dst")
 
 
 def recall(found: DataFrame, truth: DataFrame, keys: tuple[str, str] = ("src", "dst")) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import block_d2, squared_l2
-from ..session import save
+from ..session import release, save
 from .graph import components, expand_pairs, with_distance
 from .kernels import local_forest
-from .knn import BLOCK, _cells
+from .knn import BLOCK, _cells, knn_graph
 
 ONE_TASK = 2_000_000  # edges that one task may finish; beyond it Boruvka's rounds do
 
@@ -40,12 +40,14 @@ def boruvka(edges: DataFrame) -> DataFrame:
         ends = live.select("cu", "cv", "u", "v", "w").unionByName(live.select(F.col("cv").alias("cu"), F.col("cu").alias("cv"), "u", "v", "w"))
         best = ends.groupBy("cu").agg(F.min(F.struct("w", "u", "v", "cv")).alias("e")).select("cu", "e.*")
         best = save(best, "best")
-        new = best.select("u", "v", "w").distinct()
+        new = save(best.select("u", "v", "w").distinct(), "chosen")
         chosen = new if chosen is None else chosen.unionByName(new)
         nodes = best.select(F.col("cu").alias("id")).unionByName(best.select(F.col("cv").alias("id"))).distinct()
         label = components(nodes, best.select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")))
         to = lambda c: label.select(F.col("id").alias(c), F.col("component").alias("_" + c))
-        live = save(live.join(to("cu"), "cu").join(to("cv"), "cv").select("u", "v", "w", F.col("_cu").alias("cu"), F.col("_cv").alias("cv")).where("cu <> cv"), "live")
+        left = save(live.join(to("cu"), "cu").join(to("cv"), "cv").select("u", "v", "w", F.col("_cu").alias("cu"), F.col("_cv").alias("cv")).where("cu <> cv"), "live")
+        release(live, best)
+        live = left
     return edges.limit(0) if chosen is None else chosen
 
 
@@ -113,50 +115,105 @@ def mutual_reachability(pool: DataFrame, min_pts: int) -> DataFrame:
     return pool.join(a, "u").join(b, "v").select("u", "v", F.greatest("d2", "cu", "cv").alias("d2"))
 
 
-def closest_bridges(points: DataFrame, labels: DataFrame, block: int = BLOCK // 2) -> DataFrame:
-    """(u, v, d2): for each component its closest pair to any other, exactly."""
-    rows = points.join(labels, "id").select("id", F.concat(F.array(F.col("component").cast("double")), F.col("features")).alias("features"))
+def _raised(pairs: DataFrame, core: DataFrame | None) -> DataFrame:
+    """Pairs (u, v, d2, ...) with d2 raised to the core distances that their ends have."""
+    if core is None:
+        return pairs
+    a, b = core.select(F.col("id").alias("u"), F.col("core").alias("_cu")), core.select(F.col("id").alias("v"), F.col("core").alias("_cv"))
+    return pairs.join(a, "u", "left").join(b, "v", "left").withColumn("d2", F.greatest("d2", "_cu", "_cv")).drop("_cu", "_cv")
+
+
+def closest_bridges(points: DataFrame, labels: DataFrame, core: DataFrame | None = None, asking: DataFrame | None = None, block: int = BLOCK // 2) -> DataFrame:
+    """(c, u, v, d2): for each component c its closest pair to any other, exactly; d2 raised to ``core`` (id, core) where given.
+
+    With ``asking`` (id) only these points look for a partner, among all points.
+    """
+    rows = points.join(labels, "id").select("id", "component", "features")
+    rows = rows.withColumn("core", F.lit(0.0)) if core is None else rows.join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
+    # component ids are kept beside the vectors as two exact halves, since a vector holds doubles
+    half = F.lit(1 << 31)
+    wide = F.concat(F.array(F.floor(F.col("component") / half).cast("double"), F.pmod("component", half).cast("double"), "core"), F.col("features"))
+    rows = rows.select("id", wide.alias("features"))
+    one_sided = asking is not None
+
+    def label(x: np.ndarray) -> np.ndarray:
+        return x[:, 0].astype(np.int64) * (1 << 31) + x[:, 1].astype(np.int64)
 
     def fn(a, x, b, y, same):
         if not len(a):
             return {"c": a, "d2": np.zeros(0), "u": a, "v": b}
-        d = block_d2(x[:, 1:], y[:, 1:])
-        d[x[:, 0][:, None] == y[:, 0][None, :]] = np.inf
+        cx, cy = label(x), label(y)
+        d = np.maximum(np.maximum(block_d2(x[:, 3:], y[:, 3:]), x[:, 2][:, None]), y[:, 2][None, :])
+        d[cx[:, None] == cy[None, :]] = np.inf
         out = []
-        for dist, p, q, comp in ((d, a, b, x[:, 0]), *(() if same else ((d.T, b, a, y[:, 0]),))):
+        for dist, p, q, comp in ((d, a, b, cx), *(() if same or one_sided else ((d.T, b, a, cy),))):
             low = dist.min(axis=1)
             i, j = np.nonzero((dist == low[:, None]) & np.isfinite(dist))
-            out.append(pd.DataFrame({"c": comp[i].astype(np.int64), "d2": dist[i, j], "u": np.minimum(p[i], q[j]), "v": np.maximum(p[i], q[j])}))
-        all_ = pd.concat(out).sort_values(["c", "d2", "u", "v"]).drop_duplicates("c")
-        return all_
+            out.append(pd.DataFrame({"c": comp[i], "d2": dist[i, j], "u": np.minimum(p[i], q[j]), "v": np.maximum(p[i], q[j])}))
+        return pd.concat(out).sort_values(["c", "d2", "u", "v"]).drop_duplicates("c")
 
-    found = _cells(rows, None, fn, "c long, d2 double, u long, v long", block)
-    return found.groupBy("c").agg(F.min(F.struct("d2", "u", "v")).alias("e")).select("e.u", "e.v", "e.d2").distinct()
+    left = rows if asking is None else rows.join(asking, "id", "left_semi")
+    found = _cells(left, None if asking is None else rows, fn, "c long, d2 double, u long, v long", block)
+    return found.groupBy("c").agg(F.min(F.struct("d2", "u", "v")).alias("e")).select("c", "e.u", "e.v", "e.d2")
 
 
-def bridged_forest(points: DataFrame, pool: DataFrame) -> DataFrame:
-    """The forest of the pool, joined to one tree by closest cross pairs, round by round."""
+def bridged_forest(points: DataFrame, pool: DataFrame, core: DataFrame | None = None, near: int = 16) -> DataFrame:
+    """The forest of the pool, joined to one tree by closest cross pairs, round by round.
+
+    With ``core`` (id, core) the pool's d2 are raised to core distances already, and so are those of
+    cross pairs. Each component takes its closest partner: from lists of ``near`` neighbours
+    a point, made once, where they prove it the closest. Points that could have a closer one
+    beyond their list are compared with all others.
+    """
     tree = save(forest(pool), "tree")
+    lists: DataFrame | None = None
     while True:
-        label = components(points, tree)
+        label = save(components(points, tree), "labels")
         if label.select("component").distinct().limit(2).count() <= 1:
             return tree
-        new = closest_bridges(points, label)
-        tree = save(forest(tree.select("u", "v", "d2").unionByName(new)), "tree")
-
-
-def expanded_forest(points: DataFrame, pool: DataFrame, symmetric: bool = False, max_rounds: int = 10) -> DataFrame:
-    """Forest, neighbours of its edges' ends added to the pool, again until the forest stays."""
-    tree, weight = save(forest(pool), "tree"), None
-    for _ in range(max_rounds):
-        now = tree.agg(F.sum("d2"), F.count("*")).first()
-        if now == weight:
-            break
-        weight = now
-        new = with_distance(points, expand_pairs(pool, tree, symmetric), "u", "v").select("u", "v", "d2")
-        pool = save(pool.select("u", "v", "d2").unionByName(new), "pool")
-        tree = save(forest(pool), "tree")
-    return tree
+        if lists is None:
+            found = knn_graph(points, near).select(F.col("src").alias("u"), F.col("dst").alias("v"), "d2", F.col("d2").alias("raw"))
+            lists = save(_raised(found, core), "lists")
+        to = lambda c: label.select(F.col("id").alias(c), F.col("component").alias("c" + c))
+        foreign = F.when(F.col("cu") != F.col("cv"), F.struct("d2", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+        seen = lists.join(to("u"), "u").join(to("v"), "v").groupBy("u").agg(F.min(foreign).alias("best"), F.max("raw").alias("radius"), F.first("cu").alias("c"))
+        seen = save(label.select(F.col("id").alias("u"), F.col("component").alias("c")).join(seen.drop("c"), "u", "left"), "seen")
+        best = seen.groupBy("c").agg(F.min("best").alias("best"))
+        # a point's unlisted neighbours are at least as far as its list reaches
+        doubt = seen.select("u", "c", "radius").join(best, "c").where("radius IS NULL OR best IS NULL OR radius <= best.d2").select(F.col("u").alias("id"))
+        more = closest_bridges(points, label, core, save(doubt, "doubt"))
+        both = best.where("best IS NOT NULL").select(F.col("best.a").alias("u"), F.col("best.b").alias("v"), "best.d2", "c").unionByName(more)
+        new = both.groupBy("c").agg(F.min(F.struct("d2", "u", "v")).alias("e")).select("e.u", "e.v", "e.d2").distinct()
+        larger = save(forest(tree.select("u", "v", "d2").unionByName(new)), "tree")
+        release(tree, label, seen)
+        tree = larger
+
+
+def expanded_pool(points: DataFrame, pool: DataFrame, symmetric: bool = False, min_pts: int = 1) -> DataFrame:
+    """The pool after expansion: neighbours of its tree's ends join it, again until the tree's edges stay.
+
+    The tree is that of mutual reachability for ``min_pts`` above 1. The pool only grows, so the rounds end.
+    """
+    tree_of = lambda p: save(forest(mutual_reachability(p, min_pts) if min_pts > 1 else p), "tree")
+    pool = save(pool.select("u", "v", "d2"), "pool")
+    tree = tree_of(pool)
+    while True:
+        new = save(with_distance(points, expand_pairs(pool, tree, symmetric), "u", "v").select("u", "v", "d2"), "expansion")
+        if not new.head(1):
+            return pool
+        larger = save(pool.unionByName(new), "pool")
+        release(pool, new)
+        pool, old = larger, tree
+        tree = tree_of(pool)
+        same = not tree.join(old.select("u", "v"), ["u", "v"], "left_anti").head(1)
+        release(old)
+        if same:
+            return pool
+
+
+def expanded_forest(points: DataFrame, pool: DataFrame, symmetric: bool = False) -> DataFrame:
+    """The forest of the expanded pool."""
+    return forest(expanded_pool(points, pool, symmetric))
 
 
 def nearest_foreign_rounds(points: DataFrame, pool: DataFrame) -> DataFrame:

@@ -1,78 +1,181 @@
-"""Occlusion pruning: greedy folds over each node's candidates, nearest first."""
+"""Occlusion pruning: greedy folds over each node's candidates, nearest first, many nodes at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import block_d2
-
 RULES = ("search", "occlusion", "angle")
+_CELLS = 1 << 22  # numbers of a block of nodes' candidates that are folded at once
+
+
+class _Block:
+    """Nodes side by side: column j of each array is the j-th nearest candidate of every node."""
+
+    def __init__(self, groups: list[dict[str, np.ndarray]]) -> None:
+        self.size = np.array([len(g["dst"]) for g in groups])
+        width, dim = int(self.size.max()), groups[0]["x"].shape[1]
+        self.own = np.full((len(groups), width), np.inf)
+        self.new = np.ones((len(groups), width), dtype=bool)
+        self.x = np.zeros((dim, len(groups), width))
+        for k, g in enumerate(groups):
+            n = len(g["dst"])
+            self.own[k, :n], self.new[k, :n], self.x[:, k, :n] = g["d2"], g["new"], g["x"].T
+        self.kept = np.zeros((len(groups), width), dtype=bool)
+        self.by = np.full((len(groups), width), -1)  # the kept candidate whose edge replaces this one
+        self.between = np.zeros((len(groups), width))  # and the length of that edge
+
+    def fold(self, drops: Callable, moves: Callable | None = None) -> None:
+        """drops(own of kept, own of j, distances kept to j) says which kept candidates rule j out; moves which of those take it over."""
+        n, width = self.own.shape
+        rows, room = np.arange(n), 8
+        count = np.zeros(n, dtype=np.int64)
+        near, at, fresh = np.full((n, room), np.inf), np.zeros((n, room), dtype=np.int64), np.zeros((n, room), dtype=bool)
+        kx = np.zeros((len(self.x), n, room))
+        for j in range(width):
+            if count.max(initial=0) == room:
+                near, at, fresh = (np.pad(a, ((0, 0), (0, room)), constant_values=v) for a, v in ((near, np.inf), (at, 0), (fresh, False)))
+                kx, room = np.pad(kx, ((0, 0), (0, 0), (0, room))), 2 * room
+            used = int(count.max(initial=0))
+            d = np.zeros((n, used))
+            for k in range(len(self.x)):  # added in the order of squared_l2, so with equal bits
+                diff = kx[k, :, :used] - self.x[k, :, j, None]
+                d += diff * diff
+            there = np.arange(used) < count[:, None]
+            out = there & drops(near[:, :used], self.own[:, j, None], d)
+            if moves is not None:
+                out &= fresh[:, :used] | self.new[:, j, None]
+                able = out & moves(near[:, :used], self.own[:, j, None], d)
+                hit = able.any(axis=1)
+                if hit.any():
+                    first = able.argmax(axis=1)
+                    self.by[hit, j], self.between[hit, j] = at[rows[hit], first[hit]], d[rows[hit], first[hit]]
+            keep = (j < self.size) & ~out.any(axis=1)
+            self.kept[:, j] = keep
+            near[rows[keep], count[keep]], at[rows[keep], count[keep]], fresh[rows[keep], count[keep]] = self.own[keep, j], j, self.new[keep, j]
+            kx[:, rows[keep], count[keep]] = self.x[:, keep, j]
+            count[keep] += 1
+
+
+def cosine(uv: np.ndarray, uw: np.ndarray, vw: np.ndarray) -> np.ndarray:
+    """Cosine of the angle at u from squared lengths; -1 where a side at u has no length."""
+    den = 2 * np.sqrt(uv) * np.sqrt(uw)
+    return np.divide(uv + uw - vw, den, out=np.full(np.broadcast(uv, uw, vw).shape, -1.0), where=den > 0)
+
+
+def _rule(rule: str, max_cos: float) -> Callable:
+    if rule == "search":  # every kept one must be nearer to the node than to j
+        return lambda near, own, d: ~(near < d)
+    if rule == "occlusion":  # j must be nearer to the node than to any kept one
+        return lambda near, own, d: ~(d > own)
+    with np.errstate(invalid="ignore"):  # the angle at the node to any kept one must be wide enough
+        return lambda near, own, d: ~(cosine(np.where(np.isfinite(near), near, 0.0), np.where(np.isfinite(own), own, 0.0), d) < max_cos)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict[str, np.ndarray]]]:
+    """Whole groups of rows (src, d2, dst, new, features) that lie next to each other, so many that a block stays bounded."""
+    held: list[dict[str, np.ndarray]] = []
+    open_: list[dict[str, np.ndarray]] = []
+    width = 0
+
+    def close() -> None:
+        nonlocal width
+        if open_:
+            held.append({k: np.concatenate([g[k] for g in open_]) for k in open_[0]})
+            width = max(width, len(held[-1]["dst"]))
+            open_.clear()
+
+    for batch in batches:
+        src, d2, dst, new = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        if not len(src):
+            continue
+        x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(src), -1)
+        cuts = [0, *(np.flatnonzero(np.diff(src)) + 1).tolist(), len(src)]
+        for a, b in zip(cuts, cuts[1:]):
+            if open_ and open_[-1]["src"][0] != src[a]:
+                close()
+                if width * len(held) * x.shape[1] >= _CELLS:
+                    yield held
+                    held, width = [], 0
+            open_.append({"src": src[a:b], "d2": d2[a:b], "dst": dst[a:b], "new": new[a:b], "x": x[a:b]})
+    close()
+    if held:
+        yield held
+
+
+def _folded(points: DataFrame, edges: DataFrame, fn: Callable[[list[dict[str, np.ndarray]]], pd.DataFrame], schema: str) -> DataFrame:
+    flag = F.col("is_new") if "is_new" in edges.columns else F.lit(True)
+    rows = edges.where("src <> dst").groupBy("src", "dst").agg(F.min("d2").alias("d2"), F.max(flag).alias("new"))
+    rows = rows.join(points.select(F.col("id").alias("dst"), "features"), "dst").select("src", "d2", "dst", "new", "features")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in _blocks(batches):
+            yield pa.RecordBatch.from_pandas(fn(groups), preserve_index=False)
 
-def _keeps(rule: str, own: np.ndarray, between: np.ndarray, max_cos: float) -> list[int]:
-    """Positions kept of candidates in ascending order; own: distances to the node, between: among candidates."""
-    kept: list[int] = []
-    for j in range(len(own)):
-        d = between[kept, j]
-        if rule == "search":  # every kept one is nearer to the node than to j
-            ok = (own[kept] < d).all()
-        elif rule == "occlusion":  # j is nearer to the node than to any kept one
-            ok = (d > own[j]).all()
-        else:  # the angle at the node to any kept one is wide enough
-            den = 2 * np.sqrt(own[kept]) * np.sqrt(own[j])
-            cos = np.divide(own[kept] + own[j] - d, den, out=np.full(len(kept), -1.0), where=den > 0)
-            ok = (cos < max_cos).all()
-        if ok:
-            kept.append(j)
-    return kept
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "src").sortWithinPartitions("src", "d2", "dst").mapInArrow(run, schema)
 
 
 def prune(points: DataFrame, edges: DataFrame, rule: str = "occlusion", max_cos: float = 0.5, most: int | None = None, refill: bool = False) -> DataFrame:
     """(src, dst, d2, kept): the candidates that the rule keeps, at most ``most`` a node.
 
     With refill, rejected candidates fill up to ``most`` (kept is false for them). A
-    node's candidates meet in one task, so bound them first (knn_graph, cap_degree).
+    node's candidates meet in one task with their vectors; each is compared with those kept
+    before it, so the work grows with candidates times kept ones.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
-    rows = edges.select("src", "dst", "d2").where("src <> dst").distinct().join(points.select(F.col("id").alias("dst"), "features"), "dst")
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d2", "dst"]).reset_index(drop=True)
-        x = np.array(pdf["features"].tolist(), dtype=np.float64)
-        kept = _keeps(rule, pdf["d2"].to_numpy(), block_d2(x, x), max_cos)
-        flag = np.zeros(len(pdf), dtype=bool)
-        flag[kept] = True
-        out = pdf[["src", "dst", "d2"]].assign(kept=flag)
-        out = out.sort_values(["kept", "d2", "dst"], ascending=[False, True, True]) if refill else out[flag]
-        return out.head(most) if most else out
-
-    return rows.groupBy("src").applyInPandas(fn, "src long, dst long, d2 double, kept boolean")
-
-
-def moved_edges(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst, d2): edges w-v that stand for occluded u-v, where w is the first kept neighbour with d(v, w) <= d(u, v).
-
-    Pairs whose flags are both old are passed over, where edges has is_new.
+    drops = _rule(rule, max_cos)
+
+    def fn(groups: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+        block = _Block(groups)
+        block.fold(drops)
+        sizes = block.size
+        out = pd.DataFrame({k: np.concatenate([g[k] for g in groups]) for k in ("src", "dst", "d2")})
+        out["kept"] = np.concatenate([block.kept[k, :n] for k, n in enumerate(sizes)])
+        if not refill:
+            out = out[out["kept"]]
+        if most:
+            rank = out.assign(last=~out["kept"]).sort_values(["src", "last", "d2", "dst"], kind="stable")
+            out = rank[rank.groupby("src").cumcount() < most].drop(columns="last")
+        return out
+
+    return _folded(points, edges, fn, "src long, dst long, d2 double, kept boolean")
+
+
+def moved_edges(points: DataFrame, edges: DataFrame, max_cos: float | None = None, verify: bool = False) -> DataFrame:
+    """(src, dst, d2, kept): kept edges u-v, and edges w-v that stand for the others.
+
+    w is the first kept neighbour with d(v, w) <= d(u, v); with ``max_cos`` the first whose
+    angle to v at u is too narrow, and with ``verify`` only one to which w-v isn't itself ruled out by u: it is
+    shorter than u-w, or the angle to u at w is wide enough. Pairs whose flags are both
+    old are passed over, where edges has is_new.
     """
-    flag = F.col("is_new") if "is_new" in edges.columns else F.lit(True)
-    rows = edges.select("src", "dst", "d2", flag.alias("is_new")).join(points.select(F.col("id").alias("dst"), "features"), "dst")
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["d2", "dst"]).drop_duplicates("dst").reset_index(drop=True)
-        x = np.array(pdf["features"].tolist(), dtype=np.float64)
-        d, own, new, ids = block_d2(x, x), pdf["d2"].to_numpy(), pdf["is_new"].to_numpy(), pdf["dst"].to_numpy()
-        kept, out = [], []
-        for j in range(len(ids)):
-            by = [k for k in kept if d[k, j] <= own[j] and (new[k] or new[j])]
-            if by:
-                out.append((ids[by[0]], ids[j], d[by[0], j], False))
-            else:
-                kept.append(j)
-                out.append((pdf["src"].iat[0], ids[j], own[j], True))
-        return pd.DataFrame(out, columns=["src", "dst", "d2", "kept"])
-
-    return rows.groupBy("src").applyInPandas(fn, "src long, dst long, d2 double, kept boolean")
+    if max_cos is None:
+        drops = lambda near, own, d: d <= own
+    else:
+        drops = _rule("angle", max_cos)
+    finite = lambda a: np.where(np.isfinite(a), a, 0.0)
+    if max_cos is None or not verify:
+        moves = lambda near, own, d: np.ones(d.shape, dtype=bool)
+    else:
+        moves = lambda near, own, d: (d < near) | (cosine(finite(near), d, finite(own)) < max_cos)
+
+    def fn(groups: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+        block = _Block(groups)
+        block.fold(drops, moves)
+        parts = []
+        for k, g in enumerate(groups):
+            n = len(g["dst"])
+            kept, by = block.kept[k, :n], block.by[k, :n]
+            moved = ~kept & (by >= 0)
+            parts.append((g["src"][kept], g["dst"][kept], g["d2"][kept], np.ones(kept.sum(), dtype=bool)))
+            parts.append((g["dst"][by[moved]], g["dst"][moved], block.between[k, :n][moved], np.zeros(moved.sum(), dtype=bool)))
+        return pd.DataFrame(dict(zip(("src", "dst", "d2", "kept"), (np.concatenate(c) for c in zip(*parts)))))
+
+    return _folded(points, edges, fn, "src long, dst long, d2 double, kept boolean")

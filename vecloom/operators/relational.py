@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import hash_uniform
+
 
 def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
@@ -50,9 +52,9 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     return ranged.join(F.broadcast(table), "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
 
 
-def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """A seeded permutation of a table's rows."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key)
+def permuted(df: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
+    """Rows with their 0-based places in a seeded permutation of the table."""
+    return ranked(df.withColumn("_h", hash_uniform(key, seed)), ["_h", key], name).drop("_h")
 
 
 def parameter_grid(spark: SparkSession, **values: list) -> DataFrame:
@@ -71,5 +73,5 @@ def flatten_json(df: DataFrame, column: str, schema: str) -> DataFrame:
 
 
 def sample_pairs(pairs: DataFrame, one_in: int, seed: int = 1) -> DataFrame:
-    """All pairs for one_in = 1, else those that a hash of both ids picks."""
-    return pairs if one_in <= 1 else pairs.where(F.pmod(F.xxhash64("u", "v", F.lit(seed)), F.lit(one_in)) == 0)
+    """All pairs for one_in = 1, else those that a hash of both ids picks: about one in ``one_in``."""
+    return pairs if one_in <= 1 else pairs.where(hash_uniform(F.pmod("u", F.lit(1 << 31)) * 31 + F.col("v"), seed) * one_in < 1)
