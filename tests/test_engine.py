@@ -182,7 +182,7 @@ def test_bucketed_neighbours_of_a_hot_group(spark):
     d = block_d2(x, x)
     np.fill_diagonal(d, np.inf)
     want = {(k, int(j)) for k in range(4000) for j in np.argsort(d[k])[:5]}
-    got = {(r.src, r.dst) for r in knn.knn_graph_bucketed(pts, 5).select("src", "dst").collect()}
+    got = {(r.src, r.dst) for r in knn.knn_graph_bucketed(pts, 5, block=256).select("src", "dst").collect()}
     assert len(got & want) >= 0.9 * len(want), len(got & want) / len(want)
 
 

@@ -47,9 +47,13 @@ def random_level(u: Column, degree: int, max_layers: int, norm: float | None = N
 def block_d2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """All squared distances between rows of x and y, added in the order of squared_l2, so with equal bits."""
     out = np.zeros((len(x), len(y)))
-    for k in range(x.shape[1]):
-        diff = x[:, k, None] - y[None, :, k]
-        out += diff * diff
+    columns = np.ascontiguousarray(y.T)
+    for at in range(0, len(x), 64):  # a few rows at a time stay in the processor's cache
+        part, diff = out[at : at + 64], np.empty_like(out[at : at + 64])
+        for k in range(x.shape[1]):
+            np.subtract(x[at : at + 64, k, None], columns[k], out=diff)
+            np.multiply(diff, diff, out=diff)
+            part += diff
     return out
 
 

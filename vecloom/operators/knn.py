@@ -15,7 +15,7 @@ from ..functions import block_d2, near_d2
 from ..session import save
 
 BLOCK = 1024  # points of a block; a task holds two
-SMALL = 512  # points of a bucket
+BUCKET, PASSES = 512, 12  # points of a bucket and passes; up to BUCKET * PASSES points comparing all pairs is less work
 
 
 def _cells(left: DataFrame, right: DataFrame | None, fn: Callable, schema: str, block: int) -> DataFrame:
@@ -25,8 +25,12 @@ def _cells(left: DataFrame, right: DataFrame | None, fn: Callable, schema: str,
     point goes to one cell per block of the other side: the work of comparing all
     pairs is quadratic, but no task grows with the input.
     """
-    nl = max(1, math.ceil(left.count() / block))
-    nr = nl if right is None else max(1, math.ceil(right.count() / block))
+    def blocks(df: DataFrame) -> int:  # a few at least, so that small tables are work for several tasks
+        n = df.count()
+        return max(1, math.ceil(n / block), min(8, math.ceil(n / 128)))
+
+    nl = blocks(left)
+    nr = nl if right is None else blocks(right)
     if right is None:
         own = F.pmod(F.xxhash64("id"), F.lit(nl)).cast("int")
         both = left.withColumn("own", own).withColumn("cell", F.explode(F.transform(F.sequence(F.lit(0), F.lit(nl - 1)), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j")))))
@@ -64,11 +68,14 @@ def all_pairs(points: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def _best(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row the k columns of smallest (d, id) that are finite: (row, column)."""
-    order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(d)), order.shape[1])
-    cols = order.ravel()
-    ok = np.isfinite(d[rows, cols])
-    return rows[ok], cols[ok]
+    if not d.size:
+        return (np.zeros(0, dtype=np.int64),) * 2
+    last = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    rows, cols = np.nonzero((d <= last[:, None]) & np.isfinite(d))
+    order = np.lexsort((ids[cols], d[rows, cols], rows))
+    rows, cols = rows[order], cols[order]
+    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[rank < k], cols[rank < k]
 
 
 def _top(df: DataFrame, by: str, k: int, other: str) -> DataFrame:
@@ -111,18 +118,18 @@ def knn_query(points: DataFrame, queries: DataFrame, k: int = 10, block: int = B
     return _top(_cells(queries.withColumnRenamed("qid", "id"), points, fn, "qid long, id long, d2 double", block), "qid", k, "id")
 
 
-def knn_graph_bucketed(points: DataFrame, k: int = 10, passes: int = 12, bits: int | None = None, seed: int = 3, block: int = SMALL) -> DataFrame:
+def knn_graph_bucketed(points: DataFrame, k: int = 10, passes: int = PASSES, bits: int | None = None, seed: int = 3, block: int = BUCKET) -> DataFrame:
     """(src, dst, d2, rank) from random hyperplane buckets, exactly ranked: approximate, near-linear work.
 
     Hyperplanes go through the points' mean. Their number ``bits`` grows with the table
-    so that a bucket of evenly spread points holds about ``block`` of them; up to ``block`` points are one
-    bucket, and the result is exact. Buckets above ``block`` points are cut by hash into shares that are
+    so that a bucket of evenly spread points holds about ``block`` of them. Up to ``passes * block`` points all pairs
+    are no more work than buckets; they are then compared, and the result is exact. Buckets above ``block`` points are cut by hash into shares that are
     compared pair by pair, so that no task gets a bucket of unbounded size and no pair of a bucket is
     left out. Each bucket keeps k candidates a point.
     """
     n = points.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / block))) if bits is None else bits
-    if n <= block:
+    if n <= passes * block:
         return knn_graph(points, k)
     dim = len(points.select("features").head(1)[0][0])
     mean = np.array(points.select([F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(dim)]).first(), dtype=np.float64)

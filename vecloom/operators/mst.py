@@ -167,10 +167,9 @@ def bridged_forest(points: DataFrame, pool: DataFrame, core: DataFrame | None =
     """
     tree = save(forest(pool), "tree")
     lists: DataFrame | None = None
-    while True:
+    n = points.count()
+    while tree.count() < n - 1:
         label = save(components(points, tree), "labels")
-        if label.select("component").distinct().limit(2).count() <= 1:
-            return tree
         if lists is None:
             found = knn_graph(points, near).select(F.col("src").alias("u"), F.col("dst").alias("v"), "d2", F.col("d2").alias("raw"))
             lists = save(_raised(found, core), "lists")
@@ -181,12 +180,15 @@ def bridged_forest(points: DataFrame, pool: DataFrame, core: DataFrame | None =
         best = seen.groupBy("c").agg(F.min("best").alias("best"))
         # a point's unlisted neighbours are at least as far as its list reaches
         doubt = seen.select("u", "c", "radius").join(best, "c").where("radius IS NULL OR best IS NULL OR radius <= best.d2").select(F.col("u").alias("id"))
-        more = closest_bridges(points, label, core, save(doubt, "doubt"))
-        both = best.where("best IS NOT NULL").select(F.col("best.a").alias("u"), F.col("best.b").alias("v"), "best.d2", "c").unionByName(more)
+        doubt = save(doubt, "doubt")
+        both = best.where("best IS NOT NULL").select(F.col("best.a").alias("u"), F.col("best.b").alias("v"), "best.d2", "c")
+        if doubt.head(1):
+            both = both.unionByName(closest_bridges(points, label, core, doubt).select("u", "v", "d2", "c"))
         new = both.groupBy("c").agg(F.min(F.struct("d2", "u", "v")).alias("e")).select("e.u", "e.v", "e.d2").distinct()
         larger = save(forest(tree.select("u", "v", "d2").unionByName(new)), "tree")
-        release(tree, label, seen)
+        release(tree, label, seen, doubt)
         tree = larger
+    return tree
 
 
 def expanded_pool(points: DataFrame, pool: DataFrame, symmetric: bool = False, min_pts: int = 1) -> DataFrame:

@@ -200,7 +200,7 @@ def bucketed_recall(spark, d):
     """Recall of bucketed neighbours, with 8 buckets a pass."""
     p = _points(spark, d)
     truth = knn.knn_graph(p, 5)
-    return knn.recall(knn.knn_graph_bucketed(p, 5, bits=3, block=64), truth)
+    return knn.recall(knn.knn_graph_bucketed(p, 5, bits=3, block=16), truth)
 
 
 # ---- levels

@@ -10,7 +10,7 @@ from ..functions import block_d2
 from ..operators import mst
 from ..operators.kernels import kruskal
 from ..operators.knn import _cells
-from ..session import save
+from ..session import release, save
 
 
 class StreamingTree:
@@ -19,6 +19,7 @@ class StreamingTree:
     def __init__(self) -> None:
         self.points: DataFrame | None = None
         self.tree: DataFrame | None = None
+        self.batches = 0
 
     def update(self, batch: DataFrame, batch_id: int = 0) -> None:
         """Adds points(id, features); ids seen before are passed over, so a batch given again changes nothing."""
@@ -44,8 +45,13 @@ class StreamingTree:
             cross = _cells(new, self.points, fn, "u long, v long, d2 double", 1024)
             cross = cross.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d2")
             edges = mst.forest(edges.unionByName(cross).unionByName(self.tree))
-        self.tree = save(edges, "tree")
-        self.points = new if self.points is None else save(self.points.unionByName(new), "points")
+        tree = save(edges, "tree")
+        release(self.tree)
+        self.tree = tree
+        self.batches += 1
+        # batches' tables stand side by side; now and then they become one, so that a batch doesn't rewrite all points
+        both = new if self.points is None else self.points.unionByName(new)
+        self.points = save(both, "points") if self.batches % 32 == 0 else both
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).start()
