@@ -633,43 +633,136 @@ def random_fill(spark, d):
     return graph.fill_random_edges(p, knn.knn_graph(p, 3), 6)
 
 
-# ---- without SQL: sequential, iterative or layered
+# ---- indexes and descents
 
 
-@query()
+_SEARCH, _OCCLUSION, _ANGLE = (f"k.d >= {_d('k.e', 'r.e')}", f"{_d('k.e', 'r.e')} <= r.d2", f"(k.d + r.d2 - {_d('k.e', 'r.e')}) / (2 * sqrt(k.d) * sqrt(r.d2)) >= 0.5")
+_CANDIDATE = "STRUCT(v BIGINT, d DOUBLE, e FLOAT[], n BOOLEAN)[]"
+
+
+def _folded(name: str, source: str, test: str) -> str:
+    """name(layer, u, v, d2, e, kept, over): each (layer, u)'s candidates in source(layer, u, v, d2, n), folded nearest first; over is the first kept one that rules v out, of pairs that aren't both old."""
+    return f"""{name}_r AS MATERIALIZED (SELECT s.*, e.embedding AS e, row_number() OVER (PARTITION BY layer, u ORDER BY d2, v) AS rk FROM {source} s JOIN embeddings e ON e.vec_id = s.v),
+{name}_g AS (SELECT 0::BIGINT AS rk, layer, u, []::{_CANDIDATE} AS kept, []::{_CANDIDATE} AS hit, NULL::BIGINT AS v, NULL::DOUBLE AS d2, NULL::FLOAT[] AS e FROM (SELECT DISTINCT layer, u FROM {name}_r)
+  UNION ALL
+  SELECT rk, layer, u, CASE WHEN len(hit) = 0 THEN list_append(kept, {{'v': v, 'd': d2, 'e': e, 'n': n}}) ELSE kept END, hit, v, d2, e
+  FROM (SELECT r.rk, g.layer, g.u, g.kept, r.v, r.d2, r.e, r.n, list_filter(g.kept, lambda k: (k.n OR r.n) AND {test}) AS hit FROM {name}_g g JOIN {name}_r r ON r.layer = g.layer AND r.u = g.u AND r.rk = g.rk + 1)),
+{name} AS MATERIALIZED (SELECT layer, u, v, d2, e, len(hit) = 0 AS kept, hit[1] AS over_ FROM {name}_g WHERE rk > 0)"""
+
+
+def _nearest(name: str, source: str, most: str, order: str = "d2, v") -> str:
+    return f"{name} AS MATERIALIZED (SELECT layer, u, v, d2, true AS n FROM (SELECT *, row_number() OVER (PARTITION BY layer, u ORDER BY {order}) AS r FROM {source}) WHERE r <= {most})"
+
+
+def _both(name: str, source: str) -> str:
+    return f"{name} AS MATERIALIZED (SELECT layer, u, v, d2, true AS n FROM {source} UNION SELECT layer, v, u, d2, true FROM {source})"
+
+
+def _layers_sql(name: str, heap: int, low: int, high: int, angle: bool = False, least: int = 10) -> str:
+    """name(layer, u, v, d2) from lay(id, layer): candidates, prune and refill, reverse edges, cap; by the angle rule reverse edges that it lets in, and once more the rule."""
+    most = f"CASE layer WHEN 0 THEN {low} ELSE {high} END"
+    near = f"{name}_d AS (SELECT a.layer, dist.* FROM dist JOIN lay a ON a.id = u JOIN lay b ON b.id = v AND b.layer = a.layer), {_nearest(f'{name}_n', f'{name}_d', str(heap))}, {_folded(f'{name}_f', f'{name}_n', _ANGLE if angle else _SEARCH)}"
+    if not angle:
+        return f"{near}, {_nearest(f'{name}_o', f'{name}_f', most, 'kept DESC, d2, v')}, {_both(f'{name}_b', f'{name}_o')}, {_nearest(name, f'{name}_b', most)}"
+    own = f"{_nearest(f'{name}_o', f'(SELECT * FROM {name}_f WHERE kept)', most)}, {_both(f'{name}_b', f'{name}_o')}, {_folded(f'{name}_w', f'{name}_b', _ANGLE)}, {_nearest(f'{name}_l', f'{name}_b', str(least))}"
+    every = f"{name}_e AS (SELECT layer, u, v, d2 FROM {name}_o UNION SELECT layer, u, v, d2 FROM {name}_w WHERE kept UNION SELECT layer, u, v, d2 FROM {name}_l)"
+    return f"{near}, {own}, {every}, {_nearest(f'{name}_c', f'{name}_e', most)}, {_folded(f'{name}_z', f'{name}_c', _ANGLE)}, {name} AS (SELECT * FROM {name}_z WHERE kept)"
+
+
+def _index_sql(heap: int, low: int, high: int, angle: bool = False) -> str:
+    """All edges of a layered index with levels from hashes of ids."""
+    return f"""WITH RECURSIVE {DIST}, top AS (SELECT least(floor(ln(count(*)) / ln({high}::DOUBLE))::INTEGER, 9) AS most FROM embeddings),
+lev AS MATERIALIZED (SELECT vec_id AS id, least(floor(-ln({_H.format('vec_id', 0)}) * (1.0 / ln({high}::DOUBLE)))::INTEGER, most) AS level FROM embeddings, top),
+lay AS MATERIALIZED (SELECT id, unnest(generate_series(0, CASE WHEN id = (SELECT min(id) FROM lev) THEN (SELECT max(level) FROM lev) ELSE level END))::INTEGER AS layer FROM lev),
+{_layers_sql('g', heap, low, high, angle)} SELECT layer, u AS src, v AS dst, d2 FROM g"""
+
+
+def _flooding_sql(heap: int, low: int, high: int, layers: int = 5) -> str:
+    """Layers of sets without edges between their points, chosen by (hash, id), as long as a layer has ``high`` points."""
+    parts, made = ["alive0 AS MATERIALIZED (SELECT vec_id AS id FROM embeddings)"], []
+    for k in range(layers):
+        parts.append(_layers_sql(f"g{k}", heap, low if k == 0 else high, high).replace("JOIN lay a", f"JOIN (SELECT id, {k} AS layer FROM alive{k}) a").replace("JOIN lay b", f"JOIN (SELECT id, {k} AS layer FROM alive{k}) b"))
+        made.append(f"SELECT layer::INTEGER AS layer, u AS src, v AS dst, d2 FROM g{k}")
+        parts.append(f"""o{k} AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY {_H.format('id', 23)}, id) AS r FROM alive{k} WHERE (SELECT count(*) FROM alive{k}) >= {high}),
+a{k} AS MATERIALIZED (SELECT r, id, coalesce(list(x), []) AS near FROM o{k} LEFT JOIN (SELECT u, v AS x FROM g{k} UNION SELECT v, u FROM g{k}) ON u = id GROUP BY r, id),
+c{k} AS (SELECT 0::BIGINT AS r, []::BIGINT[] AS chosen UNION ALL SELECT a{k}.r, CASE WHEN len(list_intersect(near, chosen)) = 0 THEN list_append(chosen, id) ELSE chosen END FROM c{k} JOIN a{k} ON a{k}.r = c{k}.r + 1),
+alive{k + 1} AS MATERIALIZED (SELECT unnest(arg_max(chosen, r)) AS id FROM c{k})""")
+    return f"WITH RECURSIVE {DIST}, {', '.join(parts)} {' UNION ALL '.join(made)}"
+
+
+def _random_sql(degree: int) -> str:
+    """start(layer, u, v, d2, n): random edges."""
+    return f"""start AS MATERIALIZED (SELECT 0 AS layer, x.u, x.v, d2, true AS n FROM (SELECT src AS u, (src + 1 + lo + floor({_H.format(f'src * {degree} + k', 5)} * (hi - lo))::BIGINT) % n AS v FROM (SELECT vec_id AS src, k, n, floor(k * (n - 1) / {degree}.0::DOUBLE)::BIGINT AS lo,
+  floor((k + 1) * (n - 1) / {degree}.0::DOUBLE)::BIGINT AS hi FROM embeddings, (SELECT count(*) AS n FROM embeddings), (SELECT unnest(generate_series(0, {degree - 1})) AS k))) x JOIN dist ON dist.u = x.u AND dist.v = x.v)"""
+
+
+def _descent_sql(initial: int, reduce: int, outer: int, inner: int, test: str) -> str:
+    parts, at = [_random_sql(initial)], "start"
+    for o in range(outer):
+        for i in range(inner):
+            s = f"s{o}_{i}"
+            parts += [_folded(s, at, test), f"{s}_e AS (SELECT u, v, min(d2) AS d2 FROM (SELECT u, v, d2 FROM {s} WHERE kept UNION ALL SELECT over_.v, v, {_d('over_.e', 'e')} FROM {s} WHERE NOT kept) WHERE u <> v GROUP BY u, v)",
+                f"{s}_t AS MATERIALIZED (SELECT 0 AS layer, x.u, x.v, x.d2, o.u IS NULL AS n FROM {s}_e x LEFT JOIN {at} o ON o.u = x.u AND o.v = x.v)"]
+            at = f"{s}_t"
+        if o + 1 < outer:
+            parts += [_both(f"b{o}", at), _nearest(f"c{o}", f"b{o}", str(reduce))]
+            at = f"c{o}"
+    parts += [f"ends AS (SELECT layer, u, v, d2, true AS n FROM {at})", _folded("last", "ends", test)]
+    return f"WITH RECURSIVE {DIST}, {', '.join(parts)} SELECT u AS src, v AS dst, d2 FROM last WHERE kept"
+
+
+def _ego_sql(initial: int, loops: int, most: int) -> str:
+    parts, at = [_random_sql(initial)], "start"
+    for k in range(loops):
+        if k:
+            parts.append(_both(f"b{k}", at))
+            at = f"b{k}"
+        reach = f"(SELECT u, v FROM {at} UNION SELECT a.u, b.v FROM {at} a JOIN {at} b ON b.u = a.v WHERE a.u <> b.v)"
+        parts += [f"r{k} AS MATERIALIZED (SELECT 0 AS layer, dist.*, true AS n FROM dist SEMI JOIN {reach} x ON x.u = dist.u AND x.v = dist.v)", _folded(f"f{k}", f"r{k}", _OCCLUSION), _nearest(f"g{k}", f"(SELECT * FROM f{k} WHERE kept)", str(most))]
+        at = f"g{k}"
+    return f"WITH RECURSIVE {DIST}, {', '.join(parts)} SELECT u AS src, v AS dst, d2 FROM {at}"
+
+
+@query(_index_sql(50, 100, 50))
 def layered_index(spark, d):
     """All layers' edges of a layered index."""
     return index.build_layered(_points(spark, d)).edges
 
 
-@query()
+@query(_index_sql(40, 16, 8))
+def layered_index_refilled(spark, d):
+    """Degrees below the number of candidates, so that prune and refill decide."""
+    return index.build_layered(_points(spark, d), index.LayeredParams(max_build_heap_size=40, lowest_max_degree=16, higher_max_degree=8)).edges
+
+
+@query(_index_sql(50, 100, 50, angle=True))
 def layered_index_angle(spark, d):
     return index.build_layered(_points(spark, d), index.LayeredParams(max_cos=0.5)).edges
 
 
-@query()
+@query(_flooding_sql(20, 20, 50))
 def flooding_index(spark, d):
     return index.build_layered(_points(spark, d), index.LayeredParams(flooding=True, max_build_heap_size=20, lowest_max_degree=20)).edges
 
 
-@query()
+@query(f"SELECT qid, id, d2, rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {_d('a.embedding', 'b.embedding')} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_d('a.embedding', 'b.embedding')}, b.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= 5")
 def index_queries(spark, d):
-    """Greedy searches of the layered index."""
+    """Greedy searches of the layered index: on few points they meet the exact neighbours."""
     p = _points(spark, d)
     made = index.build_layered(p, index.LayeredParams(max_build_heap_size=20, lowest_max_degree=30, higher_max_degree=10))
     return made.knn_query(p.withColumnRenamed("id", "qid"), 5, heap=50)
 
 
-@query()
+@query(_descent_sql(20, 20, 2, 3, _OCCLUSION))
 def relative_descent(spark, d):
     return descent.relative_descent(_points(spark, d), initial=20, reduce=20, outer=2, inner=3)
 
 
-@query()
+@query(_descent_sql(20, 20, 1, 2, _ANGLE))
 def angle_descent(spark, d):
     return descent.relative_descent(_points(spark, d), initial=20, reduce=20, outer=1, inner=2, max_cos=0.5)
 
 
-@query()
+@query(_ego_sql(10, 2, 50))
 def ego_descent(spark, d):
     return descent.ego_descent(_points(spark, d), initial=10, loops=2, radius=2)
