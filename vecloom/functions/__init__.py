@@ -57,6 +57,15 @@ def block_d2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def row_d2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distances between equal rows of x and y, added in the order of squared_l2, so with equal bits."""
+    out = np.zeros(len(x))
+    for k in range(x.shape[1]):
+        diff = x[:, k] - y[:, k]
+        out += diff * diff
+    return out
+
+
 def near_d2(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """All squared distances by one matrix product: fast, but rounded otherwise than squared_l2; good for choosing candidates."""
     centre = x.mean(axis=0) if len(x) else 0.0
