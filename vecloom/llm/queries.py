@@ -6,19 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, fingerprint, mih, mixing, packing, pages, quality, templates, tokens, warc
+from . import alignment, embeddings, exact, fingerprint, mih, mixing, packing, pages, quality, runs, templates, tokens, warc
 
 VOCABULARY = "word_bpe_49k.json"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,21 @@ def op10_simhash_mih(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between two tokenizers' tokens in every whole text, scored by the pairs' counts over all."""
+    return alignment.align(_table(spark, sf_dir, "documents"), *map(vocabulary_path, ALIGNED))[0]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three periods and 24 words in every whole text, of which a tenth is made periodic."""
+    return runs.digest(runs.periodic_runs(runs.made_periodic(_table(spark, sf_dir, "documents"))))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of texts that are equal without white space, and the row of each that stays."""
+    return exact.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_dedup": op1_embedding_dedup,
@@ -85,8 +101,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_packing": op9_packing,
         "op10_simhash_mih": op10_simhash_mih,
+        "op11_alignment": op11_alignment,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_exact_dedup": op13_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_line_dedup": templates.SQL}
+    return {"op3_warc": warc.SQL, "op4_mixing": mixing.SQL, "op6_line_dedup": templates.SQL, "op13_exact_dedup": exact.SQL}
