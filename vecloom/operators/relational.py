@@ -52,6 +52,22 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     return ranged.join(F.broadcast(table), "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
 
 
+def running_sum(df: DataFrame, order: list[str], value: str, name: str = "total") -> DataFrame:
+    """The sum of ``value`` over all rows up to each one in ``order``, in ranges as by ranked(): a range's sum and no more passes the driver."""
+    from ..session import save
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = save(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("_p").agg(F.sum(value).alias("s")).orderBy("_p").collect()
+    base, at = [], 0
+    for r in sums:
+        base.append((r._p, at))
+        at += r.s or 0
+    table = df.sparkSession.createDataFrame(base, "_p int, _b " + dict(df.dtypes)[value])
+    within = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_s", within).join(F.broadcast(table), "_p").withColumn(name, F.col("_s") + F.col("_b")).drop("_p", "_s", "_b")
+
+
 def permuted(df: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
     """Rows with their 0-based places in a seeded permutation of the table."""
     return ranked(df.withColumn("_h", hash_uniform(key, seed)), ["_h", key], name).drop("_h")
