@@ -236,3 +236,33 @@ def test_units_forgotten(monkeypatch):
         a = pair.align(text)
         monkeypatch.setattr(alignment, "_MOST", 10**6)
         assert a == one.align(text)
+
+
+# ---- pipeline
+
+
+def test_stages_keep_foreign_columns(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    text = lambda k: " ".join(f"word{rng.randrange(900)}" for _ in range(60)) + f" {k}"
+    rows = [(k, text(k), "en", f"s{k % 3}", None) for k in range(40)] + [(40, None, "en", None, None), (41, "", None, "s1", None), (None, "short", "en", "s1", None)]
+    names = ["_id", "_copy", "_gone", "a.b", "row", "id", "taken", "times", "copy", "keep", "text2"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce("doc_id", F.lit(-1))).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, D)
+        assert out.columns == docs.columns, name
+        held = out.collect()
+        assert held or name == "quality classifier"
+        for r in held:
+            assert [r[c] for c in names] == [f"{c}:{-1 if r.doc_id is None else r.doc_id}" for c in names], name
+        assert stage(spark, docs.limit(0), D).count() == 0
+        if name == "simhash near-dedup":
+            assert Counter(r.doc_id for r in held) == Counter([*range(41), None])  # 41 is as empty as 40
+        if name == "source mixing":
+            assert {r.doc_id for r in held} == {*range(42), None}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, D).collect()
+    assert {r.doc_id for r in packed} == {*range(42), None}

@@ -314,4 +314,5 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     kept = final.groupBy("component_id").agg(F.min("rep").alias("kept"))
     final = final.join(kept, "component_id").select("fp", "kept")
     gone = fps.join(final, "fp").groupBy(F.col("id").alias("_gone")).agg(F.min(F.col("id") != F.col("kept")).alias("all_go")).where("all_go").select("_gone")
-    return df.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
+    return rows.join(gone, F.col("id") == F.col("_gone"), "left_anti").select(*[F.col("row")[c].alias(c) for c in df.columns])

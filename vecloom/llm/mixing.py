@@ -110,12 +110,18 @@ def mix(tokens: DataFrame, seed: int = 1, entropy_gap: float = 0.5, max_repeats:
 
 
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``df``, each as often as the mix takes it; rows that share an id as often as the one taken most."""
+    """Rows of ``df``, each as often as the mix takes it; rows that share an id as often as the one taken most.
+
+    Null sources are a source '', null and empty texts count no tokens and are taken once, null ids are one id.
+    Columns stay as they are, whatever their names; an empty table stays empty.
+    """
     taken = mix(token_table(df, id_col, source_col, text_col), cover=True, **options)
     times = taken.groupBy("id", "source", "epoch").agg(F.lit(1).alias("one")).groupBy("id").agg(F.max("epoch").alias("more"))
-    times = times.select(F.col("id").alias("_id"), (F.col("more") + 1).cast("int").alias("_times"))
-    joined = df.join(times, F.col(id_col).cast("long").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[joined[c] for c in df.columns])
+    times = times.select(F.col("id").alias("taken"), (F.col("more") + 1).cast("int").alias("times"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
+    joined = rows.join(times, F.col("id").eqNullSafe(F.col("taken")))
+    copies = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+    return copies.select(*[F.col("row")[c].alias(c) for c in df.columns])
 
 
 # The query's SQL: the same bisection over 32 steps.

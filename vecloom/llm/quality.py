@@ -163,5 +163,5 @@ def report(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options)
 
 
 def keep_good(df: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that the classifier keeps, with the columns of ``df``, whatever their names."""
+    """The rows that the classifier keeps, with the columns of ``df``, whatever their names; an empty table stays empty, see judged() for odd rows."""
     return judged(df, labels, **options).where("keep").select(*[F.col("row")[c].alias(c) for c in df.columns])
