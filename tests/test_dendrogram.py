@@ -201,3 +201,33 @@ def test_ids_must_be_dense(spark):
     tree = spark.createDataFrame([(0, 10, 1.0), (10, 20, 4.0)], "u long, v long, d2 double")
     with pytest.raises(ValueError, match="dense_ids"):
         dendrogram.from_tree(tree, 3)
+
+
+def test_drawn_pairs(spark):
+    from vecloom.operators import relational
+
+    for ids in ([k for k in range(30)], [k * 10 + 2**33 for k in range(30)]):
+        points = spark.createDataFrame([(i,) for i in ids], "id long")
+        every = rows(relational.drawn_pairs(points, 435))
+        assert every == sorted((a, b) for a in ids for b in ids if a < b)
+        some = rows(relational.drawn_pairs(points, 50))
+        assert len(set(some)) == 50 and set(some) <= set(every)
+    with pytest.raises(ValueError, match="fewer"):
+        relational.drawn_pairs(points, 436)
+
+
+def test_ids_need_not_be_dense(spark):
+    from vecloom import sources
+    from vecloom.operators import graph
+    from vecloom.plans import clustering
+
+    x = np.random.default_rng(2).standard_normal((24, 3))
+    points = sources.points_from_numpy(spark, x)
+    wide = points.selectExpr("id * 10 + 3000000000 AS id", "features")
+    assert rows(clustering.exact_dendrogram(wide)) == rows(clustering.exact_dendrogram(points))
+    up = lambda e: sorted((a * 10 + 3 * 10**9, b * 10 + 3 * 10**9, w) for a, b, w in map(tuple, e.collect()))
+    none = spark.createDataFrame([], "src long, dst long, d2 double")
+    assert rows(graph.fill_random_edges(wide, none, 5).groupBy("src").count()) == [(k * 10 + 3 * 10**9, 5) for k in range(24)]
+    assert sorted((r.src, r.dst) for r in graph.random_edges(wide, 4).collect()) == sorted((r.src * 10 + 3 * 10**9, r.dst * 10 + 3 * 10**9) for r in graph.random_edges(points, 4).collect())
+    assert up(graph.extend_random_edges(points, none, 3)) == rows(graph.extend_random_edges(wide, none, 3))
+    assert {c for r in graph.random_pairs(wide, 99).collect() for c in r} <= {k * 10 + 3 * 10**9 for k in range(24)}

@@ -39,6 +39,12 @@ def hash_uniform(id_: Column | str, salt: int = 0) -> Column:
     return (F.pmod(x * F.lit(2654435761), F.lit(4294967296)) + F.lit(0.5)) / F.lit(4294967296.0)
 
 
+def np_uniform(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """hash_uniform() of an array of integers."""
+    x = (x + (salt + 1)) & (1 << 31) - 1
+    return ((x * 2654435761 & (1 << 32) - 1) + 0.5) / 4294967296.0
+
+
 def random_level(u: Column, degree: int, max_layers: int, norm: float | None = None) -> Column:
     """Layer of a node whose uniform number is u: floor(-ln(u) * norm), below max_layers; norm is 1 / ln(degree) if not given."""
     return F.least(F.floor(-F.log(u) * F.lit(1.0 / float(np.log(degree)) if norm is None else norm)), F.lit(max_layers - 1)).cast("int")

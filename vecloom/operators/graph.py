@@ -189,18 +189,27 @@ def layer_sizes(levels: DataFrame) -> DataFrame:
 
 
 def random_edges(nodes: DataFrame, degree: int, salt: int = 5) -> DataFrame:
-    """(src, dst): ``degree`` distinct pseudo-random neighbours of each node (all others if they are fewer), never itself; nodes are dense ids 0..n-1.
+    """(src, dst): ``degree`` distinct pseudo-random neighbours of each node (all others if they are fewer), never itself.
 
-    A node's k-th neighbour lies a step away that is drawn from the k-th of ``degree`` equal shares of all steps.
+    A node's k-th neighbour lies a step away, in the order of ids, that is drawn from the k-th of ``degree`` equal shares of all steps.
     """
-    n = nodes.count()
+    n, low, high = nodes.agg(F.count("*"), F.min("id"), F.max("id")).first()
     if n < 2:
         return nodes.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
-    degree = min(degree, n - 1)
-    draws = nodes.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(degree - 1))).alias("k"))
-    low, high = F.floor(F.col("k") * F.lit(n - 1) / degree), F.floor((F.col("k") + 1) * F.lit(n - 1) / degree)
-    step = low + F.floor(hash_uniform(F.col("src") * degree + F.col("k"), salt) * (high - low))
-    return draws.select("src", F.pmod(F.col("src") + 1 + step, F.lit(n)).cast("long").alias("dst"))
+    degree, ids = min(degree, n - 1), None
+    if (low, high) != (0, n - 1):
+        from .relational import ranked
+
+        ids = ranked(nodes.select("id"), ["id"], "place").select("id", "place")
+    at = nodes.select(F.col("id").alias("place")) if ids is None else ids.select("place")
+    draws = at.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(degree - 1))))
+    first, last = F.floor(F.col("k") * F.lit(n - 1) / degree), F.floor((F.col("k") + 1) * F.lit(n - 1) / degree)
+    step = first + F.floor(hash_uniform(F.col("place") * degree + F.col("k"), salt) * (last - first))
+    drawn = draws.select(F.col("place").alias("src"), F.pmod(F.col("place") + 1 + step, F.lit(n)).cast("long").alias("dst"))
+    if ids is None:
+        return drawn
+    to = lambda c: ids.select(F.col("place").alias(c), F.col("id").alias("_" + c))
+    return drawn.join(to("src"), "src").join(to("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
 
 
 def fill_random_edges(points: DataFrame, edges: DataFrame, degree: int, salt: int = 5) -> DataFrame:
@@ -217,10 +226,18 @@ def extend_random_edges(points: DataFrame, edges: DataFrame, more: int, salt: in
     return edges.select("src", "dst", "d2").unionByName(with_distance(points, random_edges(points, more, salt)).select("src", "dst", "d2")).distinct()
 
 
-def random_pairs(n_ids: int, n: int, spark, seed: int = 1) -> DataFrame:
-    """(a, b): n pseudo-random pairs of ids below n_ids; loops and repeats may occur."""
-    draw = lambda s: F.floor(hash_uniform("id", s) * n_ids).cast("long")
-    return spark.range(n).select(draw(seed).alias("a"), draw(seed + 1).alias("b"))
+def random_pairs(nodes: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """(a, b): n pseudo-random pairs of the nodes' ids; loops and repeats may occur. Without nodes there are none."""
+    count, low, high = nodes.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    draw = lambda s: F.floor(hash_uniform("id", s) * count).cast("long")
+    drawn = nodes.sparkSession.range(n if count else 0).select(draw(seed).alias("a"), draw(seed + 1).alias("b"))
+    if not count or (low, high) == (0, count - 1):
+        return drawn
+    from .relational import ranked
+
+    ids = ranked(nodes.select("id"), ["id"], "place")
+    to = lambda c: ids.select(F.col("place").alias(c), F.col("id").alias("_" + c))
+    return drawn.join(to("a"), "a").join(to("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
 def sample_except(nodes: DataFrame, n: int, but: int, salt: int = 1) -> DataFrame:

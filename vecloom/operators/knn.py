@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import block_d2, near_d2
+from ..functions import block_d2, near_d2, np_uniform, row_d2
 from ..session import save
 
 BLOCK = 1024  # points of a block; a task holds two
@@ -66,6 +66,19 @@ def all_pairs(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return _cells(points, None, fn, "u long, v long, d2 double", block)
 
 
+def sampled_pairs(points: DataFrame, one_in: int, seed: int = 1, block: int = BLOCK) -> DataFrame:
+    """(u, v, d2) for those u < v that a hash of both ids picks, about one in ``one_in``: only their distances are measured."""
+
+    def fn(a, x, b, y, same):
+        if not len(a):
+            return {"u": a, "v": b, "d2": np.zeros(0)}
+        u, v = np.minimum(a[:, None], b[None, :]), np.maximum(a[:, None], b[None, :])
+        i, j = np.nonzero((np_uniform((u & (1 << 31) - 1) * 31 + v, seed) * one_in < 1) & (a[:, None] < b[None, :] if same else a[:, None] != b[None, :]))
+        return {"u": u[i, j], "v": v[i, j], "d2": row_d2(x[i], y[j])}
+
+    return _cells(points, None, fn, "u long, v long, d2 double", block)
+
+
 def _best(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """For each row the k columns of smallest (d, id) that are finite: (row, column)."""
     if not d.size:

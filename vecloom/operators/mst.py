@@ -51,9 +51,11 @@ def boruvka(edges: DataFrame) -> DataFrame:
     return edges.limit(0) if chosen is None else chosen
 
 
-def _prim(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tree of a block's points by Prim's algorithm, in the total order (d2, u, v)."""
+def _prim(ids: np.ndarray, x: np.ndarray, core: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tree of a block's points by Prim's algorithm, in the total order (d2, u, v); d2 raised to both ends' core where given."""
     d = block_d2(x, x)
+    if core is not None:
+        d = np.maximum(np.maximum(d, core[:, None]), core[None, :])
     n = len(ids)
     best, par = d[0].copy(), np.zeros(n, dtype=np.int64)
     free = np.ones(n, dtype=bool)
@@ -81,20 +83,25 @@ def _prim(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return ids[a], ids[b], np.array([o[2] for o in out])
 
 
-def exact_tree(points: DataFrame, block: int = BLOCK // 2) -> DataFrame:
-    """(u, v, d2): the minimum spanning tree of the complete graph on points(id, features).
+def exact_tree(points: DataFrame, block: int = BLOCK // 2, core: DataFrame | None = None) -> DataFrame:
+    """(u, v, d2): the minimum spanning tree of the complete graph on points(id, features), with d2 raised to ``core`` (id, core) where given.
 
     Each pair of blocks contributes the tree of its own points, at most two blocks'
     worth of edges instead of all their pairs; the forest of these is the tree.
     """
 
+    raised = core is not None
+
     def fn(a, x, b, y, same):
         if not len(a):
             return {"u": a, "v": b, "d2": np.zeros(0)}
         ids, feats = (a, x) if same else (np.concatenate((a, b)), np.concatenate((x, y)))
-        u, v, w = _prim(ids, feats)
+        u, v, w = _prim(ids, feats[:, 1:], feats[:, 0]) if raised else _prim(ids, feats)
         return {"u": np.minimum(u, v), "v": np.maximum(u, v), "d2": w}
 
+    if raised:
+        known = points.join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(0.0)))
+        points = known.select("id", F.concat(F.array("core"), F.col("features").cast("array<double>")).alias("features"))
     return forest(_cells(points, None, fn, "u long, v long, d2 double", block).distinct())
 
 
@@ -224,8 +231,4 @@ def nearest_foreign_rounds(points: DataFrame, pool: DataFrame) -> DataFrame:
     return bridged_forest(points, tree)
 
 
-def tree_length(tree: DataFrame) -> DataFrame:
-    return tree.agg(F.count("*").alias("edges"), F.sum(F.sqrt("d2")).alias("length"))
-
-
-__all__ = ["boruvka", "bridged_forest", "closest_bridges", "core_distances", "exact_tree", "expanded_forest", "forest", "mutual_reachability", "nearest_foreign_rounds", "squared_l2", "tree_length"]
+__all__ = ["boruvka", "bridged_forest", "closest_bridges", "core_distances", "exact_tree", "expanded_forest", "forest", "mutual_reachability", "nearest_foreign_rounds", "squared_l2"]

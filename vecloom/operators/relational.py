@@ -88,6 +88,32 @@ def flatten_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     return df.withColumn("_j", F.from_json(column, schema)).select(*[c for c in df.columns if c != column], "_j.*")
 
 
+def drawn_pairs(points: DataFrame, n_pairs: int, seed: int = 1) -> DataFrame:
+    """(u, v): ``n_pairs`` different pairs u < v of the points' ids, drawn by their numbers among all n(n-1)/2 in order.
+
+    One number is drawn from each of ``n_pairs`` equal shares of all numbers and turned into a pair, so that no other pair is
+    ever made. Ids are numbered by rank unless they are 0..n-1. More pairs than there are raise a ValueError.
+    """
+    n, low, high = points.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    total = n * (n - 1) // 2
+    if n_pairs > total:
+        raise ValueError(f"{n} points have {total} pairs, fewer than {n_pairs}")
+    wide = total // max(n_pairs, 1)
+    number = F.col("id") * F.lit(wide) + F.floor(hash_uniform("id", seed) * wide)
+    rows = points.sparkSession.range(n_pairs).select(number.cast("long").alias("c"))
+    before = lambda i: i * F.lit(2 * n - 1) - i * i  # noqa: E731 - twice the pairs of smaller first ids
+    guess = F.floor((F.lit(2.0 * n - 1) - F.sqrt(F.greatest(F.lit(float(2 * n - 1) ** 2) - 8.0 * F.col("c"), F.lit(0.0)))) / 2).cast("long")
+    rows = rows.withColumn("u", F.greatest(guess, F.lit(0)))
+    # roots of doubles may be one off
+    u = F.col("u") - (before(F.col("u")) > 2 * F.col("c")).cast("long") + (before(F.col("u") + 1) <= 2 * F.col("c")).cast("long")
+    rows = rows.withColumn("u", u).select("u", (F.col("c") - F.shiftright(before(F.col("u")), 1) + F.col("u") + 1).alias("v"))
+    if n and (low, high) != (0, n - 1):
+        ids = ranked(points.select("id"), ["id"], "place")
+        to = lambda c: ids.select(F.col("place").alias(c), F.col("id").alias("_" + c))
+        rows = rows.join(to("u"), "u").join(to("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    return rows
+
+
 def sample_pairs(pairs: DataFrame, one_in: int, seed: int = 1) -> DataFrame:
     """All pairs for one_in = 1, else those that a hash of both ids picks: about one in ``one_in``."""
     return pairs if one_in <= 1 else pairs.where(hash_uniform(F.pmod("u", F.lit(1 << 31)) * 31 + F.col("v"), seed) * one_in < 1)

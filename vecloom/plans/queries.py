@@ -16,6 +16,7 @@ from ..functions import hash_uniform, random_level, segment_distance, squared_l2
 from ..operators import dendrogram, descent, graph, knn, mst, quality, relational
 from ..operators import prune as prune_rules
 from ..operators.prune import prune
+from ..session import save
 from . import clustering, index
 
 _made: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -343,7 +344,7 @@ def core_distance(spark, d):
 
 @query(f"WITH {DIST}, c AS (SELECT u, d2 FROM (SELECT u, d2, row_number() OVER (PARTITION BY u ORDER BY d2) AS r FROM dist) WHERE r = 5) SELECT round(avg(d2), 9) AS mean_core, round(var_pop(d2), 9) AS var_core FROM c")
 def core_distance_summary(spark, d):
-    core = mst.core_distances(knn.all_pairs(_points(spark, d)), 5)
+    core = knn.knn_graph(_points(spark, d), 5).where("rank = 5").select(F.col("src").alias("id"), F.col("d2").alias("core"))
     return quality.core_summary(core).select(F.round("mean_core", 9).alias("mean_core"), F.round("var_core", 9).alias("var_core"))
 
 
@@ -353,8 +354,8 @@ SELECT row_number() OVER (ORDER BY w) - 1 AS merge_no, sqrt(w) AS height FROM tr
 def mutual_reachability_heights(spark, d):
     """Heights only: equal weights leave a choice of edges."""
     p = _points(spark, d)
-    tree = mst.forest(mst.mutual_reachability(knn.all_pairs(p), 5))
-    return dendrogram.from_tree(tree, p.count()).select("merge_no", "height")
+    core = save(knn.knn_graph(p, 5).where("rank = 5").select(F.col("src").alias("id"), F.col("d2").alias("core")), "core")
+    return clustering.merged(p, mst.exact_tree(p, core=core)).select("merge_no", "height")
 
 
 # ---- dendrograms
@@ -592,14 +593,23 @@ def distinct_sample_except(spark, d):
     return graph.sample_except(_points(spark, d), 50, 7)
 
 
-@query(f"SELECT floor({_H.format('i', 1)} * 500)::BIGINT AS a, floor({_H.format('i', 2)} * 500)::BIGINT AS b FROM (SELECT unnest(generate_series(0, 999)) AS i)")
+@query(f"SELECT floor({_H.format('i', 1)} * (SELECT count(*) FROM embeddings))::BIGINT AS a, floor({_H.format('i', 2)} * (SELECT count(*) FROM embeddings))::BIGINT AS b FROM (SELECT unnest(generate_series(0, 999)) AS i)")
 def random_pairs(spark, d):
-    return graph.random_pairs(500, 1000, spark)
+    return graph.random_pairs(_points(spark, d), 1000)
 
 
 @query(f"WITH {DIST} SELECT u, v, d2 FROM dist WHERE u < v AND {_H.format('u * 31 + v', 1)} * 10 < 1")
 def pair_sample(spark, d):
-    return relational.sample_pairs(knn.all_pairs(_points(spark, d)), 10)
+    return knn.sampled_pairs(_points(spark, d), 10)
+
+
+@query(f"""{TREE_SQL}, {WALK}, num AS MATERIALIZED (SELECT u, v, row_number() OVER (ORDER BY u, v) - 1 AS c FROM dist WHERE u < v),
+drawn AS (SELECT i * w + floor({_H.format('i', 1)} * w)::BIGINT AS c FROM (SELECT unnest(generate_series(0, 1999)) AS i, (SELECT count(*) FROM num) // 2000 AS w))
+SELECT num.u, num.v, sqrt(walk.h) AS height FROM drawn JOIN num USING (c) JOIN walk ON walk.src = num.u AND walk.cur = num.v""")
+def sampled_cophenetic(spark, d):
+    """Cophenetic heights of 2,000 pairs drawn by number: no other pair is made."""
+    p = _points(spark, d)
+    return dendrogram.pair_heights(mst.exact_tree(p), relational.drawn_pairs(p, 2000))
 
 
 @query(f"SELECT c_custkey, row_number() OVER (ORDER BY {_H.format('c_custkey', 9)}, c_custkey) - 1 AS position FROM customer")
