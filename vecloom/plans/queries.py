@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import hash_uniform, random_level, segment_distance, squared_l2, triangle_cosine
-from ..operators import dendrogram, descent, graph, knn, mst, quality, relational
+from ..operators import dendrogram, descent, graph, knn, mst, quality, relational, search
 from ..operators import prune as prune_rules
 from ..operators.prune import prune
 from ..session import save
@@ -407,6 +407,13 @@ def searcher_dendrogram(spark, d):
     return clustering.searcher_dendrogram(_points(spark, d), index.LayeredParams(max_build_heap_size=10, lowest_max_degree=20), ef=10)[0]
 
 
+@query()
+def searcher_merges(spark, d):
+    """What resumable searchers with one candidate merge before any gap is bridged, over ten neighbours a point."""
+    p = _points(spark, d)
+    return search.searcher_merges(p, knn.knn_graph(p, 10), 1)
+
+
 @query(f"{TREE_SQL}, {WALK} SELECT src AS u, cur AS v, sqrt(h) AS height FROM walk WHERE src < cur")
 def cophenetic_distances(spark, d):
     return dendrogram.cophenetic(mst.exact_tree(_points(spark, d)))
