@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vecloom.llm import alignment, exact, queries, runs
+from vecloom.llm import alignment, exact, pages, queries, runs
 
 D = "/root/testdata/sf0.001"
 CLASH = "doc_id long, text string, id long, row long, digest string, h long, `a.b` string, chunk long, stripe int, runs int, n string, maybe boolean, _id int"
@@ -266,3 +266,32 @@ def test_stages_keep_foreign_columns(spark):
             assert {r.doc_id for r in held} == {*range(42), None}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, D).collect()
     assert {r.doc_id for r in packed} == {*range(42), None}
+
+
+# ---- pages
+
+
+def text_of(html, *others):
+    lines = pages.lines_of(html)
+    own = [t for _, t in lines]
+    frame = pages.frame_lines(own, [[t for _, t in pages.lines_of(o)] for o in others])
+    return pages.main_text("".join(f for f, _ in lines), own, frame)
+
+
+def test_teasers_are_not_the_story():
+    story = "<div id=content><h1>Title</h1><p>The long story.</p></div><article class=teaser>Related card</article>"
+    assert text_of(story) == "Title\nThe long story.\nRelated card"
+    assert text_of(story, "<div><h1>Other</h1></div><article class=teaser>Related card</article>") == "Title\nThe long story."
+    assert text_of("<p>Site of news</p><article><p>A story that is longer.</p></article>") == "A story that is longer."
+
+
+def test_words_within_lines_stay():
+    assert text_of("<article><p>Set the <label>Speed</label> dial</p></article>") == "Set the Speed dial"
+    assert text_of('<article><p>See <span id="comment">this remark</span> twice</p></article>') == "See this remark twice"
+    assert text_of('<article><p>Text here</p><form><label>Mail</label><input></form><div class="comment">Nice one</div></article>') == "Text here"
+
+
+def test_deep_pages_hide_too():
+    deep = "<div>" * 5000
+    assert text_of(f"{deep}<nav>Menu</nav><article><p>Deep text</p></article>") == "Deep text"
+    assert text_of("<i></b>" * 20_000 + "<p>a<p>b") == "a\nb"

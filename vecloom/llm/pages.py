@@ -6,9 +6,9 @@ host whose URL paths are nearest: neighbours in the order of paths, since the lo
 common prefix is always with one, other than copies of its lines. Lines are aligned by
 a longest common subsequence; those that most of the compared pages share are
 frame and are deleted. Structure supports this where pages can't differ or can't agree:
-what stands in elements that never hold article text goes, and on pages with <article>
-or <main> only those are kept, of which only shared lines made of links are deleted: two
-articles may quote the same paragraph, which is no boilerplate.
+what stands in elements that never hold article text goes, and where <article> or <main>
+hold more than what else a page doesn't share with its neighbours only those are kept, of which only shared
+lines made of links are deleted: two articles may quote the same paragraph, which is no boilerplate.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 import bisect
 import html as entities
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import islice
 
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import range_starts
 
 # HTML's element names by their part in parsing, its landmark elements and roles.
-_NEVER = frozenset("nav footer aside form menu dialog button select option label input textarea iframe svg canvas object audio video map head title".split())
+_NEVER = frozenset("nav footer aside form menu dialog button select option input textarea iframe svg canvas audio video map head title".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _RAW = frozenset("script style noscript template textarea title xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,7 +46,6 @@ _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(
 UNSHARED = frozenset("ad ads advert advertisement comment comments".split())
 
 MAIN, BODY, SKIP = "m", "b", "s"  # where a line stands; upper case if links make up more than half of it
-_DEPTH = 512  # open elements at most, as in browsers
 SIDE, COMPARED = 3, 3  # differing pages looked at on each side, and of those the nearest that are compared
 
 
@@ -56,6 +55,7 @@ class _Parser:
     def __init__(self) -> None:
         self.out: list[tuple[str, str]] = []
         self.stack: list[tuple[str, bool]] = []  # (name, whether this element hides what it holds)
+        self.open_now: Counter[str] = Counter()
         self.soft: list[int] = []  # positions of those that an article in them would show again
         self.text: list[str] = []
         self.linked = self.total = 0
@@ -86,6 +86,7 @@ class _Parser:
                 self.flush()
                 break
         for name, hides in self.stack[to:]:
+            self.open_now[name] -= 1
             self.hidden -= hides
             self.main -= name in ("article", "main")
             self.links -= name == "a"
@@ -94,6 +95,8 @@ class _Parser:
             self.soft.pop()
 
     def close(self, name: str) -> None:
+        if not self.open_now[name]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == name:
                 self.pop(k)
@@ -110,7 +113,7 @@ class _Parser:
                     self.pop(k)
                 elif self.stack[k][0] in _BOUNDS:
                     break
-        elif name in _ENDS_P:
+        elif name in _ENDS_P and self.open_now["p"]:
             for k in range(len(self.stack) - 1, -1, -1):
                 if self.stack[k][0] == "p":
                     self.pop(k)
@@ -123,7 +126,7 @@ class _Parser:
             self.flush()
         elif name in ("br", "td", "th", "option"):
             self.text.append(" ")
-        if name in _VOID or len(self.stack) >= _DEPTH:
+        if name in _VOID:
             return
         if name in ("article", "main"):
             for k in self.soft:  # a form or a landmark around the article isn't the page's frame
@@ -131,6 +134,8 @@ class _Parser:
                 self.hidden -= 1
             self.soft.clear()
         why = _hidden(attrs) if attrs and name not in ("html", "body") else ""
+        if why == "word" and name not in _BLOCKS:
+            why = ""  # a word or two within a line
         hides = name in _NEVER or name == "header" and not self.main or bool(why) and not (name in ("article", "main") and why == "role" or name == "main" and why == "word")
         if hides and name not in _BLOCKS:
             self.text.append(" ")
@@ -138,6 +143,7 @@ class _Parser:
         if hides and (name == "form" or name not in _NEVER and why == "role"):
             self.soft.append(len(self.stack))
         self.stack.append((name, hides))
+        self.open_now[name] += 1
         self.hidden += hides
         self.main += name in ("article", "main")
         self.links += name == "a"
@@ -256,10 +262,17 @@ def frame_lines(lines: list[str], others: list[list[str]]) -> set[int]:
 def main_text(flags: str, lines: list[str], frame: set[int] | None = None) -> str:
     """The page's article: lines that are neither frame nor in elements without article text.
 
-    With <article> or <main> only those count, where frame lines go only if made of links.
+    <article> or <main> count where they hold at least as much text as stands outside of them without being
+    links or shared with neighbours: then only their lines stay, of which frame lines go only if made of links. An
+    article that holds less, such as a teaser beside the story, is text like any other.
     """
-    marked = any(f in "mM" for f in flags)
-    keep = [x for k, (f, x) in enumerate(zip(flags, lines)) if f in ("mM" if marked else "bB") and not (frame and k in frame and (not marked or f == "M"))]
+    frame = frame or set()
+    own = {"m": 0, "b": 0}
+    for k, (f, x) in enumerate(zip(flags, lines)):
+        if f == "m" or f == "b" and k not in frame:
+            own[f] += len(x)
+    marked = any(f in "mM" for f in flags) and own["m"] >= own["b"]
+    keep = [x for k, (f, x) in enumerate(zip(flags, lines)) if f in ("mM" if marked else "mMbB") and not (k in frame and (not marked or f == "M"))]
     return "\n".join(keep)
 
 
