@@ -68,6 +68,24 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str = "total"
     return ranged.withColumn("_s", within).join(F.broadcast(table), "_p").withColumn(name, F.col("_s") + F.col("_b")).drop("_p", "_s", "_b")
 
 
+def max_before(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "before") -> DataFrame:
+    """The largest ``value`` of the rows before each one in ``order`` within its group ``by``, null for the first.
+
+    Rows are dealt by ranges of group and order, so that a group of any size is spread: a range looks back within itself and
+    at the maxima of its group's earlier ranges, one row each.
+    """
+    from ..session import save
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = save(df.repartitionByRange(n, *by, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    tops = ranged.groupBy(*by, "_p").agg(F.max(value).alias("_t"))
+    earlier = tops.withColumn("_e", F.max("_t").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).drop("_t")
+    within = F.max(value).over(Window.partitionBy(*by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    held = ranged.withColumn("_w", within)
+    same = [held[c].eqNullSafe(earlier[c]) for c in [*by, "_p"]]
+    return held.join(earlier, same).select(*[held[c] for c in df.columns], F.greatest("_w", "_e").alias(name))
+
+
 def permuted(df: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
     """Rows with their 0-based places in a seeded permutation of the table."""
     return ranked(df.withColumn("_h", hash_uniform(key, seed)), ["_h", key], name).drop("_h")
