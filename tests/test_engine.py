@@ -407,3 +407,17 @@ def has(name):
     import importlib.util
 
     return importlib.util.find_spec(name) is not None
+
+
+def test_bucketed_index_recall(spark):
+    """1,500 points are more than a bucket: candidates come from hyperplanes and one round of neighbours' neighbours."""
+    x = np.random.default_rng(12).standard_normal((1500, 12))
+    pts = sources.points_from_numpy(spark, x)
+    made = index.build_layered(pts, index.LayeredParams(max_build_heap_size=20, lowest_max_degree=24, higher_max_degree=10))
+    queries = pts.where("id % 25 = 0").selectExpr("id AS qid", "features")
+    truth = knn.knn_query(pts, queries, 10)
+    assert knn.recall(made.knn_query(queries, 10, 60), truth, ("qid", "id")).first().recall >= 0.9
+    near = knn.knn_graph_bucketed(pts, 10).cache()
+    exact = knn.knn_graph(pts, 10)
+    assert knn.recall(near, exact).first().recall < 1.0  # buckets did decide
+    assert knn.recall(knn.knn_local_join(pts, near, 10), exact).first().recall >= 0.9

@@ -15,7 +15,7 @@ from ..functions import block_d2, near_d2, np_uniform, row_d2
 from ..session import save
 
 BLOCK = 1024  # points of a block; a task holds two
-BUCKET, PASSES = 512, 12  # points of a bucket and passes; up to BUCKET * PASSES points comparing all pairs is less work
+BUCKET, PASSES = 512, 12  # points of a bucket, and passes
 
 
 def _cells(left: DataFrame, right: DataFrame | None, fn: Callable, schema: str, block: int) -> DataFrame:
@@ -135,14 +135,14 @@ def knn_graph_bucketed(points: DataFrame, k: int = 10, passes: int = PASSES, bit
     """(src, dst, d2, rank) from random hyperplane buckets, exactly ranked: approximate, near-linear work.
 
     Hyperplanes go through the points' mean. Their number ``bits`` grows with the table
-    so that a bucket of evenly spread points holds about ``block`` of them. Up to ``passes * block`` points all pairs
-    are no more work than buckets; they are then compared, and the result is exact. Buckets above ``block`` points are cut by hash into shares that are
+    so that a bucket of evenly spread points holds about ``block`` of them. Without hyperplanes, of up to ``block`` points, there is
+    one bucket of all and the result is exact. Buckets above ``block`` points are cut by hash into shares that are
     compared pair by pair, so that no task gets a bucket of unbounded size and no pair of a bucket is
     left out. Each bucket keeps k candidates a point.
     """
     n = points.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / block))) if bits is None else bits
-    if n <= passes * block:
+    if bits == 0:
         return knn_graph(points, k)
     dim = len(points.select("features").head(1)[0][0])
     mean = np.array(points.select([F.avg(F.col("features")[i]).alias(f"m{i}") for i in range(dim)]).first(), dtype=np.float64)

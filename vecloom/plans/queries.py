@@ -388,13 +388,13 @@ SELECT row_number() OVER (ORDER BY w) - 1 AS merge_no, sqrt(w) AS height FROM tr
 def index_dendrogram_minpts5(spark, d):
     """Mutual reachability over an expanded index pool: heights as over all pairs (equal weights leave a choice of edges)."""
     p = _points(spark, d)
-    return clustering.index_dendrogram(p, min_pts=5, params=index.LayeredParams(max_build_heap_size=30, lowest_max_degree=60, higher_max_degree=10))[0].select("merge_no", "height")
+    return clustering.index_dendrogram(p, min_pts=5, params=index.LayeredParams(exact=True, max_build_heap_size=30, lowest_max_degree=60, higher_max_degree=10))[0].select("merge_no", "height")
 
 
 @query(f"{TREE_SQL}, {WALK}, {MERGES} SELECT * FROM dendro")
 def index_dendrogram(spark, d):
     """Layered index, edge pool, expansion, forest: on these points the exact dendrogram."""
-    return clustering.index_dendrogram(_points(spark, d), params=index.LayeredParams(max_build_heap_size=20, lowest_max_degree=20, higher_max_degree=10))[0]
+    return clustering.index_dendrogram(_points(spark, d), params=index.LayeredParams(exact=True, max_build_heap_size=20, lowest_max_degree=20, higher_max_degree=10))[0]
 
 
 @query(f"{TREE_SQL}, {WALK}, {MERGES} SELECT * FROM dendro")
@@ -404,7 +404,7 @@ def self_joined_dendrogram(spark, d):
 
 @query(f"{TREE_SQL}, {WALK}, {MERGES} SELECT * FROM dendro")
 def searcher_dendrogram(spark, d):
-    return clustering.searcher_dendrogram(_points(spark, d), index.LayeredParams(max_build_heap_size=10, lowest_max_degree=20), ef=10)[0]
+    return clustering.searcher_dendrogram(_points(spark, d), index.LayeredParams(exact=True, max_build_heap_size=10, lowest_max_degree=20), ef=10)[0]
 
 
 @query()
@@ -749,24 +749,24 @@ def layered_index(spark, d):
 @query(_index_sql(40, 16, 8))
 def layered_index_refilled(spark, d):
     """Degrees below the number of candidates, so that prune and refill decide."""
-    return index.build_layered(_points(spark, d), index.LayeredParams(max_build_heap_size=40, lowest_max_degree=16, higher_max_degree=8)).edges
+    return index.build_layered(_points(spark, d), index.LayeredParams(exact=True, max_build_heap_size=40, lowest_max_degree=16, higher_max_degree=8)).edges
 
 
 @query(_index_sql(50, 100, 50, angle=True))
 def layered_index_angle(spark, d):
-    return index.build_layered(_points(spark, d), index.LayeredParams(max_cos=0.5)).edges
+    return index.build_layered(_points(spark, d), index.LayeredParams(exact=True, max_cos=0.5)).edges
 
 
 @query(_flooding_sql(20, 20, 50))
 def flooding_index(spark, d):
-    return index.build_layered(_points(spark, d), index.LayeredParams(flooding=True, max_build_heap_size=20, lowest_max_degree=20)).edges
+    return index.build_layered(_points(spark, d), index.LayeredParams(exact=True, flooding=True, max_build_heap_size=20, lowest_max_degree=20)).edges
 
 
 @query(f"SELECT qid, id, d2, rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {_d('a.embedding', 'b.embedding')} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_d('a.embedding', 'b.embedding')}, b.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= 5")
 def index_queries(spark, d):
     """Greedy searches of the layered index: on few points they meet the exact neighbours."""
     p = _points(spark, d)
-    made = index.build_layered(p, index.LayeredParams(max_build_heap_size=20, lowest_max_degree=30, higher_max_degree=10))
+    made = index.build_layered(p, index.LayeredParams(exact=True, max_build_heap_size=20, lowest_max_degree=30, higher_max_degree=10))
     return made.knn_query(p.withColumnRenamed("id", "qid"), 5, heap=50)
 
 
