@@ -134,8 +134,8 @@ class _Parser:
                 self.hidden -= 1
             self.soft.clear()
         why = _hidden(attrs) if attrs and name not in ("html", "body") else ""
-        if why == "word" and name not in _BLOCKS:
-            why = ""  # a word or two within a line
+        if why == "id":
+            why = "word" if name in _BLOCKS else ""  # a name within a line says nothing
         hides = name in _NEVER or name == "header" and not self.main or bool(why) and not (name in ("article", "main") and why == "role" or name == "main" and why == "word")
         if hides and name not in _BLOCKS:
             self.text.append(" ")
@@ -150,7 +150,7 @@ class _Parser:
 
 
 def _hidden(attrs: str) -> str:
-    """Why an element's attributes hide it: "yes", "role", "word", or ""."""
+    """Why an element's attributes hide it: "yes", "role", "word" (of its class), "id", or ""."""
     why = ""
     for key, value in _ATTR.findall(attrs):
         key, words = key.lower(), value.strip("\"'").lower().split()
@@ -159,7 +159,7 @@ def _hidden(attrs: str) -> str:
         if key == "role" and not _ROLES.isdisjoint(words):
             why = why or "role"
         elif key in ("class", "id") and not UNSHARED.isdisjoint(words):
-            why = "word"
+            why = "word" if key == "class" else why or "id"
     return why
 
 
