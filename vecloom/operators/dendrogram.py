@@ -157,11 +157,15 @@ def intervals(dendrogram: DataFrame, n: int, larger_left: bool = False, limit: i
 
     The first child is the left one, with ``larger_left`` the larger one. Trees of a forest follow each other by their roots' numbers.
     """
-    links = save(_parents(dendrogram, n, larger_left), "links")
+    links = _parents(dendrogram, n, larger_left)
     inner = links.where(F.col("node") >= n).select((F.col("node") - n).alias("merge_no"), "up", "off")
     found = climbed(dendrogram.select("merge_no").join(inner, "merge_no", "left").withColumnRenamed("merge_no", "k"), limit)
     rooted = save(dendrogram.join(found.select(F.col("k").alias("merge_no"), F.col("top").alias("root"), "off"), "merge_no"), "rooted")
-    roots = running_sum(rooted.where("merge_no = root").select("root", "size"), ["root"], "size", "base").select("root", (F.col("base") - F.col("size")).alias("base"))
+    roots = rooted.where("merge_no = root").select("root", "size")
+    if len(roots.limit(2).collect()) > 1:
+        roots = running_sum(roots, ["root"], "size", "base").select("root", (F.col("base") - F.col("size")).alias("base"))
+    else:
+        roots = roots.select("root", F.lit(0).cast("long").alias("base"))
     second = links.where("off > 0").select(F.col("up").alias("merge_no"), F.col("off").alias("first"))
     return rooted.join(roots, "root").join(second, "merge_no").select(*dendrogram.columns, "root", (F.col("base") + F.col("off")).alias("lo"), (F.col("base") + F.col("off") + F.col("first")).alias("mid"), (F.col("base") + F.col("off") + F.col("size")).alias("hi"))
 
@@ -294,8 +298,8 @@ def flat_cut(dendrogram: DataFrame, n: int, k: int, min_size: int = 10, limit: i
     after each split is a running sum. Points find their cluster by following links up to it.
     """
     spark = dendrogram.sparkSession
-    d = round_up(dendrogram, n, limit)
-    up = save(_parents(d, n), "links")
+    d = round_up(save(dendrogram, "merges"), n, limit)  # read several times
+    up = _parents(d, n)
     rows = d.join(up.where(F.col("node") >= n).select((F.col("node") - n).alias("merge_no"), F.col("up")), "merge_no", "left")
     rows = save(rows.withColumn("able", F.col("up").isNull() | (F.col("size") >= min_size)).select("merge_no", "height", "up", "able"), "able")
     begin = rows.where("up IS NULL").count()
@@ -307,7 +311,7 @@ def flat_cut(dendrogram: DataFrame, n: int, k: int, min_size: int = 10, limit: i
         after = running_sum(down, ["low", "late"], "change", "n").where((F.col("n") + begin >= k) | (F.col("n") + begin == 0))
         split = after.agg(F.min(F.struct("low", "late")).alias("s")).first().s
     is_split = F.lit(False) if split is None else F.struct((-F.col("height")).alias("low"), (-F.col("merge_no")).alias("late")) <= F.struct(F.lit(split.low).alias("low"), F.lit(split.late).alias("late"))
-    told = save(rows.withColumn("split", F.col("able") & is_split), "told")
+    told = rows.withColumn("split", F.col("able") & is_split)
     above = told.select(F.col("merge_no").alias("up"), F.col("split").alias("above"))
     told = told.join(above, "up", "left").withColumn("above", F.coalesce("above", F.lit(True)))
     told = save(told.withColumn("cluster", F.col("able") & ~F.col("split") & F.col("above")), "told")
@@ -328,10 +332,14 @@ def largest_gap_cut(dendrogram: DataFrame) -> DataFrame:
 
 def tree_row(tree: DataFrame, weight: str = "d2", limit: int = LIMIT) -> DataFrame:
     """(pos, id, gap): the points of a forest (u, v, weight), whatever their ids, in the row of its dendrogram."""
-    ids = save(ranked(tree.select(F.explode(F.array("u", "v")).alias("id")).distinct(), ["id"], "place"), "ids")
+    tree = save(tree.select("u", "v", F.col(weight).alias("w")), "tree")
+    found = tree.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    n, low, high = found.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    if n and (low, high) == (0, n - 1):
+        return leaf_row(save(intervals(save(from_tree(tree, n, "w", limit), "merges"), n, limit=limit), "spans"), n)
+    ids = save(ranked(found, ["id"], "place"), "ids")
     to = lambda c: ids.select(F.col("id").alias(c), F.col("place").alias("_" + c))
-    placed = tree.join(to("u"), "u").join(to("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"), F.col(weight).alias("w"))
-    n = ids.count()
+    placed = tree.join(to("u"), "u").join(to("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"), "w")
     row = leaf_row(save(intervals(save(from_tree(placed, n, "w", limit), "merges"), n, limit=limit), "spans"), n)
     return row.select("pos", F.col("id").alias("place"), "gap").join(ids, "place").select("pos", "id", "gap")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import hash_uniform
@@ -30,42 +30,38 @@ def top_k(df: DataFrame, by: list[str], order: list, k: int, rest: bool = False)
     return df.withColumn("_r", rank).where(F.col("_r") > k if rest else F.col("_r") <= k).drop("_r")
 
 
+def _ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows dealt by ranges of the order, in order within each, with the range's number _p."""
+    from ..session import save
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
+    return save(ranged, "ranges")
+
+
+def _bases(ranged: DataFrame, total: Column) -> DataFrame:
+    """(_p, _b): the sum of ``total`` over the ranges before each one; a row a range."""
+    sums = ranged.groupBy("_p").agg(total.alias("_t"), F.min("_i").alias("_lo"))
+    before = F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    return F.broadcast(sums.select("_p", F.coalesce(before, F.lit(0)).alias("_b"), "_lo"))
+
+
 def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
     """0-based ranks over a whole table, in ranges: no task sorts more than its range.
 
     Rows are dealt by ranges of the order, ranked within, and ranges' sizes summed
-    up (one number each passes the driver).
+    up, which is a row a range.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
-    from ..session import save
-
-    ranged = save(ranged, "ranges")
-    first = ranged.groupBy("_p").agg(F.count("*").alias("n"), F.min("_i").alias("lo")).orderBy("_p").collect()
-    base, at = [], 0
-    for r in first:
-        base.append((r._p, at - r.lo))
-        at += r.n
-    if not base:
-        return ranged.drop("_p", "_i").withColumn(name, F.lit(0).cast("long"))
-    table = df.sparkSession.createDataFrame(base, "_p int, _b long")
-    return ranged.join(F.broadcast(table), "_p").withColumn(name, F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
+    ranged = _ranges(df, order)
+    return ranged.join(_bases(ranged, F.count("*")), "_p").withColumn(name, F.col("_i") - F.col("_lo") + F.col("_b")).drop("_p", "_i", "_b", "_lo")
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, name: str = "total") -> DataFrame:
-    """The sum of ``value`` over all rows up to each one in ``order``, in ranges as by ranked(): a range's sum and no more passes the driver."""
-    from ..session import save
-
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = save(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
-    sums = ranged.groupBy("_p").agg(F.sum(value).alias("s")).orderBy("_p").collect()
-    base, at = [], 0
-    for r in sums:
-        base.append((r._p, at))
-        at += r.s or 0
-    table = df.sparkSession.createDataFrame(base, "_p int, _b " + dict(df.dtypes)[value])
-    within = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_s", within).join(F.broadcast(table), "_p").withColumn(name, F.col("_s") + F.col("_b")).drop("_p", "_s", "_b")
+    """The sum of ``value`` over all rows up to each one in ``order``, in ranges as by ranked()."""
+    ranged = _ranges(df, order)
+    within = F.sum(value).over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    summed = ranged.withColumn("_s", within).join(_bases(ranged, F.sum(value)), "_p")
+    return summed.withColumn(name, F.col("_s") + F.col("_b")).drop("_p", "_i", "_s", "_b", "_lo")
 
 
 def max_before(df: DataFrame, by: list[str], order: list[str], value: str, name: str = "before") -> DataFrame:
