@@ -445,3 +445,46 @@ def test_stages_keep_odd_rows(spark):
         out = stage(spark, df, labels_dir or "")
         assert out.columns == df.columns and out.count() >= 8, name
         assert stage(spark, df.limit(0), labels_dir or "").count() == 0, name
+
+
+# ---- op1: windows over the whole sorted table
+
+
+def windowed_links(x, ties, leading, passes, window=64):
+    """Links by walking each pass's whole sorted list, and runs of equal leading symbols, plainly."""
+    keys = embeddings.sort_keys(embeddings._unit(list(x)), passes)
+    u = embeddings._unit(list(x))
+    near = u @ u.T >= 0.95
+    found = set()
+    for p in range(passes):
+        head = keys[:, p] >> embeddings._BITS * (embeddings._SYMBOLS - leading)
+        runs = {}
+        for k, h in enumerate(head.tolist()):
+            runs.setdefault(h, []).append(k)
+        for run in runs.values():
+            found |= {(a, b) for i, a in enumerate(run) for b in run[i + 1 :] if near[a, b]}
+        order = sorted((k for run in runs.values() if len(run) <= window for k in run), key=lambda k: (keys[k, p], ties[k]))
+        found |= {(min(a, b), max(a, b)) for i, a in enumerate(order) for b in order[max(0, i - window) : i] if near[a, b]}
+    return found
+
+
+def test_windows_do_not_depend_on_partitions(spark, monkeypatch):
+    """Few passes, so that not every pair is found: those found are a plain walk's, with 4 and with 64 partitions and blocks of two sizes."""
+    x = planted(1500, 1500, dim=16)
+    x = np.concatenate([x, x[:1] + 0.001 * np.random.default_rng(1).standard_normal((150, 16))])
+    df = vectors(spark, x)
+    ties = [r[0] for r in df.orderBy("vec_id").selectExpr("xxhash64(embedding)").collect()]
+    want = np.zeros(len(x), dtype=int)
+    for a, b in windowed_links(x, ties, 4, 4):
+        want[a] += 1
+        want[b] += 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, block in ((4, 2048), (64, 2048), (4, 100)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            monkeypatch.setattr(embeddings, "BLOCK", block)
+            got = {r.vec_id: r.n_links for r in embeddings.near_dedup(df, leading=4, passes=4).collect()}
+            assert [got[k] for k in range(len(x))] == want.tolist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < want[:1500].sum() and embeddings.near_dedup(df).agg({"n_links": "sum"}).first()[0] >= want.sum()

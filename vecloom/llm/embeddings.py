@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import ranked
 from .common import cells, components, materialize, shuffle_partitions
 
 _BITS = 5  # of a symbol: 16 projections and a sign
 _SYMBOLS = 12  # of a key, packed into one long
+BLOCK = 2048  # successive rows that one window task walks through, with the window before them
 
 
 def _projections(dim: int, passes: int, seed: int) -> np.ndarray:
@@ -108,8 +110,12 @@ def near_links(reps: DataFrame, threshold: float = 0.95, passes: int | None = No
     pass, where they meet for certain; others may meet in several windows and come as pairs
     that are made distinct. Ids must be unique, vectors valid and distinct. Only vectors of
     equal length are compared. No pair below the threshold counts; the share of pairs above it
-    that is found grows with ``passes`` (plan_passes() sets them by the table's size).
+    that is found grows with ``passes`` (plan_passes() sets them by the table's size). Windows
+    run over the whole sorted table: its blocks begin with the last rows of the block before, so
+    the pairs found are the same for any number of partitions. ``window`` is at most BLOCK.
     """
+    if window > BLOCK:
+        raise ValueError(f"a window has at most {BLOCK} rows, not {window}")
     spark = reps.sparkSession
     parts = shuffle_partitions(spark)
     rule = plan_passes(reps.count(), window)
@@ -152,35 +158,41 @@ def near_links(reps: DataFrame, threshold: float = 0.95, passes: int | None = No
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids, roots, sums)], names=["id", "other", "n"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Compares each row with the ``window`` rows before it, over rows sorted by (dim, pass, key)."""
+        """Compares each row with the ``window`` rows before it, over blocks of successive rows; a block's first rows may be the last of the one before."""
         tail: tuple | None = None
         for batch in batches:
-            col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("id", "dim", "pass", "vec", "keys", "n")}
-            ids, place = col["id"].to_numpy(), col["pass"].to_numpy().astype(np.int64) + (col["dim"].to_numpy().astype(np.int64) << 16)
+            col = {c: batch.column(batch.schema.get_field_index(c)) for c in ("part", "id", "dim", "pass", "halo", "vec", "keys", "n")}
+            ids, part, halo = col["id"].to_numpy(), col["part"].to_numpy(), col["halo"].to_numpy(zero_copy_only=False)
+            place = list(zip(part.tolist(), col["dim"].to_pylist(), col["pass"].to_pylist()))
             vecs, keys, weight = col["vec"].to_pylist(), np.array(col["keys"].to_pylist(), dtype=np.int64).reshape(len(ids), passes), col["n"].to_numpy()
             links, pairs = _Links(), []
-            for g in dict.fromkeys(place.tolist()):
-                at = np.flatnonzero(place == g)
-                x, k, i, w = _unit([vecs[r] for r in at]), keys[at], ids[at], weight[at]
+            begins = [r for r in range(len(place)) if r == 0 or place[r] != place[r - 1]]
+            for start, end in zip(begins, [*begins[1:], len(place)]):
+                g, at = place[start], slice(start, end)
+                x, k, i, w, h = _unit(vecs[at]), keys[at], ids[at], weight[at], halo[at]
                 new = 0
                 if tail is not None and tail[0] == g:
                     new = len(tail[3])
-                    x, k, i, w = (np.concatenate(c) for c in zip(tail[1:], (x, k, i, w)))
+                    x, k, i, w, h = (np.concatenate(c) for c in zip(tail[1:], (x, k, i, w, h)))
                 for s in range(new, len(i), window):
                     low = max(0, s - window)
-                    p, q, sure = linked(x[s : s + window], k[s : s + window], i[s : s + window], x[low : s + window], k[low : s + window], i[low : s + window], g & 0xFFFF)
+                    p, q, sure = linked(x[s : s + window], k[s : s + window], i[s : s + window], x[low : s + window], k[low : s + window], i[low : s + window], g[2])
                     p, q = s + p, low + q
-                    near = (p - q <= window) & (q < p)
+                    near = (p - q <= window) & (q < p) & ~h[p]
                     one = near & sure
                     links.add(i[p[one]], i[q[one]], w[p[one]], w[q[one]])
                     pairs.append((i[p[near & ~sure]], i[q[near & ~sure]]))
-                tail = (g, x[-window:], k[-window:], i[-window:], w[-window:])
+                tail = (g, x[-window:], k[-window:], i[-window:], w[-window:], h[-window:])
             yield result(links, pairs)
 
-    short = rows.where("long IS NULL").drop("long").join(table, "id")
-    # rows of one run of equal leading symbols stay in one range; a run is no longer than the window
-    ranged = short.repartitionByRange(parts, *group).sortWithinPartitions("dim", "pass", "key", "id")
-    found = ranged.select("id", "dim", "pass", "vec", "keys", "n").mapInArrow(windows, "id long, other long, n long")
+    # ranks of keys alone; equal keys follow a hash of the vector, so that windows don't depend on how Spark deals rows
+    short = ranked(rows.where("long IS NULL").select(*group[:2], "key", "id").join(table.select("id", F.xxhash64("vec").alias("tie")), "id"), ["dim", "pass", "key", "tie", "id"], "rank")
+    part = F.floor(F.col("rank") / BLOCK)
+    here = F.struct(part.alias("part"), F.lit(False).alias("halo"))
+    to = F.when(F.col("rank") % BLOCK < BLOCK - window, F.array(here)).otherwise(F.array(here, F.struct((part + 1).alias("part"), F.lit(True).alias("halo"))))
+    dealt = short.select("dim", "pass", "id", "rank", F.explode(to).alias("to")).select("to.part", "to.halo", "dim", "pass", "id", "rank").join(table, "id")
+    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "rank")
+    found = ordered.select("part", "id", "dim", "pass", "halo", "vec", "keys", "n").mapInArrow(windows, "id long, other long, n long")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """All pairs between two blocks (or within one) of one run."""
