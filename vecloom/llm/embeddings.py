@@ -27,7 +27,7 @@ from .common import cells, components, materialize, shuffle_partitions
 
 _BITS = 5  # of a symbol: 16 projections and a sign
 _SYMBOLS = 12  # of a key, packed into one long
-BLOCK = 2048  # successive rows that one window task walks through, with the window before them
+BLOCK = 1024  # successive rows that one window task walks through, with the window before them
 
 
 def _projections(dim: int, passes: int, seed: int) -> np.ndarray:
@@ -191,7 +191,7 @@ def near_links(reps: DataFrame, threshold: float = 0.95, passes: int | None = No
     here = F.struct(part.alias("part"), F.lit(False).alias("halo"))
     to = F.when(F.col("rank") % BLOCK < BLOCK - window, F.array(here)).otherwise(F.array(here, F.struct((part + 1).alias("part"), F.lit(True).alias("halo"))))
     dealt = short.select("dim", "pass", "id", "rank", F.explode(to).alias("to")).select("to.part", "to.halo", "dim", "pass", "id", "rank").join(table, "id")
-    ordered = dealt.repartition(parts, "part").sortWithinPartitions("part", "rank")
+    ordered = dealt.repartitionById(parts, F.pmod("part", F.lit(parts)).cast("int")).sortWithinPartitions("part", "rank")
     found = ordered.select("part", "id", "dim", "pass", "halo", "vec", "keys", "n").mapInArrow(windows, "id long, other long, n long")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
