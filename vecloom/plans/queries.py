@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import sources
 from ..functions import hash_uniform, random_level, segment_distance, squared_l2, triangle_cosine
-from ..operators import dendrogram, descent, graph, knn, mst, quality, relational, search
+from ..operators import dendrogram, descent, graph, knn, metric, mst, quality, relational, search
 from ..operators import prune as prune_rules
 from ..operators.prune import prune
 from ..session import save
@@ -762,7 +762,12 @@ def flooding_index(spark, d):
     return index.build_layered(_points(spark, d), index.LayeredParams(exact=True, flooding=True, max_build_heap_size=20, lowest_max_degree=20)).edges
 
 
-@query(f"SELECT qid, id, d2, rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {_d('a.embedding', 'b.embedding')} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_d('a.embedding', 'b.embedding')}, b.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= 5")
+def _nearest_sql(k: int) -> str:
+    """The k nearest points of each point, itself included."""
+    return f"SELECT qid, id, d2, rank FROM (SELECT a.vec_id AS qid, b.vec_id AS id, {_d('a.embedding', 'b.embedding')} AS d2, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_d('a.embedding', 'b.embedding')}, b.vec_id) AS rank FROM embeddings a, embeddings b) WHERE rank <= {k}"
+
+
+@query(_nearest_sql(5))
 def index_queries(spark, d):
     """Greedy searches of the layered index: on few points they meet the exact neighbours."""
     p = _points(spark, d)
@@ -770,6 +775,13 @@ def index_queries(spark, d):
     return made.knn_query(p.withColumnRenamed("id", "qid"), 5, heap=50)
 
 
+@query(_nearest_sql(10))
+def metric_tree_knn(spark, d):
+    """Exact neighbours of all points through a vantage-point tree."""
+    p = _points(spark, d)
+    return metric.tree_knn(metric.build_tree(p, leaf=64), p.withColumnRenamed("id", "qid"), 10)
+
+
 @query(_descent_sql(20, 20, 2, 3, _OCCLUSION))
 def relative_descent(spark, d):
     return descent.relative_descent(_points(spark, d), initial=20, reduce=20, outer=2, inner=3)
