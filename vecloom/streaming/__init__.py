@@ -1,4 +1,4 @@
-"""Trees kept up to date over streams of points: MST(A and B) = MST(MST(A) and the new edges)."""
+"""Trees and layered indexes kept up to date over streams of points: MST(A and B) = MST(MST(A) and the new edges)."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from ..functions import block_d2
 from ..operators import mst
 from ..operators.kernels import kruskal
 from ..operators.knn import _cells
+from ..plans.index import Index, LayeredParams, build_layered
 from ..session import release, save
 
 
@@ -55,3 +56,20 @@ class StreamingTree:
 
     def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
         return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).start()
+
+
+class StreamingIndex:
+    """A layered index of all points seen, as batches arrive; the first batch is built, later ones are inserted."""
+
+    def __init__(self, params: LayeredParams | None = None, index: Index | None = None) -> None:
+        self.params, self.index = params, index
+
+    def update(self, batch: DataFrame, batch_id: int = 0) -> None:
+        """Adds points(id, features); ids seen before are passed over, so a batch given again changes nothing."""
+        if self.index is not None:
+            self.index = self.index.insert(batch)
+        elif batch.head(1):
+            self.index = build_layered(batch.select("id", "features").where("id IS NOT NULL").groupBy("id").agg(F.min("features").alias("features")), self.params)
+
+    def start(self, stream: DataFrame, checkpoint: str) -> StreamingQuery:
+        return stream.writeStream.foreachBatch(self.update).option("checkpointLocation", checkpoint).start()
