@@ -775,6 +775,14 @@ def index_queries(spark, d):
     return made.knn_query(p.withColumnRenamed("id", "qid"), 5, heap=50)
 
 
+@query(_nearest_sql(5))
+def inserted_index_queries(spark, d):
+    """Searches of an index of the even ids into which the odd ones were inserted: on few points they meet the exact neighbours."""
+    p = _points(spark, d)
+    made = index.build_layered(p.where("id % 2 = 0"), index.LayeredParams(max_build_heap_size=20, lowest_max_degree=30, higher_max_degree=10)).insert(p)
+    return made.knn_query(p.withColumnRenamed("id", "qid"), 5, heap=50)
+
+
 @query(_nearest_sql(10))
 def metric_tree_knn(spark, d):
     """Exact neighbours of all points through a vantage-point tree."""
