@@ -99,6 +99,14 @@ def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return sized.where((100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (na + nb)).select("a", "b").distinct()
 
 
+def sorted_side(df: DataFrame) -> DataFrame:
+    """A table that grows with the corpus, for one side of a join: it is shuffled and sorted, never collected by the driver to be broadcast.
+
+    Fingerprints and ids take far less room in Parquet than as rows, so that Spark takes a table of many rows for a small one.
+    """
+    return df.hint("merge")
+
+
 def distance(a: Column, b: Column, words: int) -> Column:
     """Hamming distance of two arrays of ``words`` 64-bit integers."""
     out = F.lit(0)
@@ -152,7 +160,7 @@ def star_links(fps: DataFrame, words: int, segments: int, radius: int) -> DataFr
     table = _entries(fps, segments, words)
     rank = F.struct(F.xxhash64("id", "seg").alias("h"), "id", "fp")
     ends = table.groupBy("seg", "val").agg(F.min(rank).alias("lo"), F.max(rank).alias("hi")).where("lo.id <> hi.id")
-    met = table.join(ends, ["seg", "val"]).withColumn("c", F.explode(F.array("lo", "hi"))).where(F.col("c.id") != F.col("id"))
+    met = table.join(sorted_side(ends), ["seg", "val"]).withColumn("c", F.explode(F.array("lo", "hi"))).where(F.col("c.id") != F.col("id"))
     met = met.where(distance(F.col("c.fp"), F.col("fp"), words) <= radius)
     return met.select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b")).distinct()
 
@@ -172,10 +180,10 @@ def hamming_links(fps: DataFrame, words: int, segments: int, radius: int, group:
     on = (F.col("p.seg") == F.col("t.seg")) & (F.col("p.val") == F.col("t.val")) & (~F.col("same") | (F.col("pid") < F.col("id")))
     if group:
         held = table.groupBy("seg", "val").agg(F.min(group).alias("lo"), F.max(group).alias("hi"))
-        probes = probes.join(held, ["seg", "val"]).where((F.col("lo") != F.col("pgroup")) | (F.col("hi") != F.col("pgroup"))).drop("lo", "hi")
+        probes = probes.join(sorted_side(held), ["seg", "val"]).where((F.col("lo") != F.col("pgroup")) | (F.col("hi") != F.col("pgroup"))).drop("lo", "hi")
         on = on & (F.col("pgroup") != F.col(group))
     on = on & (distance(F.col("pfp"), F.col("fp"), words) <= radius)
-    return probes.alias("p").join(table.alias("t"), on).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
+    return probes.alias("p").join(sorted_side(table).alias("t"), on).select(F.least("pid", "id").alias("a"), F.greatest("pid", "id").alias("b")).distinct()
 
 
 def classes(fps: DataFrame, words: int, segments: int, radius: int) -> DataFrame:
@@ -194,21 +202,22 @@ def classes(fps: DataFrame, words: int, segments: int, radius: int) -> DataFrame
     grouped = materialize(_grouped(nodes, starred), "stars")
     links = hamming_links(grouped, words, segments, radius, "component")
     final = _merged(grouped, links).select("fp", "component_id")
-    known = distinct.select("fp").join(final, "fp", "left")
-    return fps.select("id", "fp").join(known, "fp")
+    known = distinct.select("fp").join(sorted_side(final), "fp", "left")
+    return fps.select("id", "fp").join(sorted_side(known), "fp")
 
 
 def _grouped(nodes: DataFrame, known: DataFrame) -> DataFrame:
     """Nodes with the component of table (node, component), else their own id."""
-    return nodes.join(known, nodes.id == known.node, "left").drop("node").withColumn("component", F.coalesce("component", "id"))
+    return nodes.join(sorted_side(known), nodes.id == known.node, "left").drop("node").withColumn("component", F.coalesce("component", "id"))
 
 
 def _merged(grouped: DataFrame, links: DataFrame) -> DataFrame:
     """Rows of (id, component, ...) with component_id, once links (a, b) join their ends' components."""
     of = grouped.select("id", "component")
-    joined = links.join(of.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(of.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    ends = [sorted_side(of.select(F.col("id").alias(x), F.col("component").alias("c" + x))) for x in "ab"]
+    joined = links.join(ends[0], "a").join(ends[1], "b")
     merged = components(joined.select("ca", "cb")).withColumnRenamed("component", "merged")
-    return grouped.join(merged, F.col("component") == F.col("node"), "left").withColumn("component_id", F.coalesce("merged", "component")).drop("merged", "node")
+    return grouped.join(sorted_side(merged), F.col("component") == F.col("node"), "left").withColumn("component_id", F.coalesce("merged", "component")).drop("merged", "node")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2, segments: int = 2) -> DataFrame:
