@@ -296,32 +296,58 @@ def key_links(grouped: DataFrame, sets: DataFrame, words: int, radius: int, leas
     return dealt.groupBy("val", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, radius: int = 64, words: int = 4) -> DataFrame:
+def keep_one(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: float = 0.8, radius: int = 64, words: int = 4, segments: int = 3, within: int = 5
+) -> DataFrame:
     """Rows of ``df`` less near copies: of each class the row with the smallest id stays.
 
     Two texts are linked if the sets of their 5-word shingles have a Jaccard similarity
-    of ``least`` or more, counted exactly. Candidates share one of 20 keys of six
-    min-hashes (0.998 of the pairs at 0.8 do) and lie within 64 of 256 bits: 0.8 puts
-    39 bits apart on average (two sets of n shingles that share 8/9 n have cosine
-    8/9, an angle of 27.3 of 180 degrees), with a standard deviation of 6. First each
-    row is compared with the first of its keys' rows, which joins most copies; then all
-    candidates that are still in different classes. Texts without words are equal.
+    of ``least`` or more, counted exactly. Candidates come from multi-index hashing of the
+    sets' 64-bit SimHash first: all pairs within ``within`` bits, from ``segments`` tables
+    with balls of within // segments bits. At 0.8 that many bits are too few (two sets of
+    n shingles that share 8/9 n have cosine 8/9, an angle of 27.3 of 180 degrees, so 39 of
+    256 bits differ on average, with a standard deviation of 6), and balls that reach so far
+    would hold most tables' values. So rows that are still apart are candidates, too, where
+    they share one of 20 keys of six min-hashes (0.998 of the pairs at 0.8 do) and lie within
+    ``radius`` of 64 * ``words`` bits. Each row is first compared with the first rows of its
+    segments' values and of its keys, which joins most copies. Texts without words are equal.
     Rows with null id are all kept; rows that share an id go only if all of their texts are copies. Other columns, whatever their names, stay as they are; an empty table stays empty.
     """
     fps = materialize(set_fingerprints(df, id_col, text_col, size, words), "fps")
     distinct = fps.where("id IS NOT NULL").groupBy("fp").agg(F.min("id").alias("rep"), F.min("search").alias("search"))
     nodes = materialize(distinct.withColumn("id", F.monotonically_increasing_id()), "sets")
-    keys = nodes.select("id", "rep", F.explode("search").alias("val"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(id, shingles) of those nodes (id)."""
+        held = nodes.join(sorted_side(wanted), "id", "left_semi").select("id", "rep", F.col("fp")[words].alias("check"))
+        reps = held.select(F.col("rep").alias("_rep")).distinct()
+        some = df.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("_text")).join(reps, "_rep", "left_semi")
+        found = shingle_sets(some, "_rep", "_text", size).withColumnRenamed("id", "rep").join(held, ["rep", "check"])
+        return materialize(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
+
+    def short(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("id", F.slice("fp", 1, 1).alias("fp"), *more)
+
+    keys = nodes.select("id", F.explode("search").alias("val"))
     shared = keys.groupBy("val").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("val")
-    reps = keys.join(shared, "val").select(F.col("rep").alias("_rep")).distinct()
-    some = df.select(F.col(id_col).cast("long").alias("_rep"), F.col(text_col).alias("_text")).join(reps, "_rep", "left_semi")
-    found = shingle_sets(some, "_rep", "_text", size).withColumnRenamed("id", "rep").join(nodes.select("id", "rep", F.col("fp")[words].alias("check")), ["rep", "check"])
-    sets = materialize(found.groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
-    grouped = materialize(_grouped(nodes, components(similar(key_stars(nodes, words, radius), sets, least))), "stars")
+    stars = materialize(star_links(short(nodes), 1, segments, within), "indexed")
+    sets = sets_of(keys.join(sorted_side(shared), "val").select("id").unionByName(_ends(stars)).distinct())
+    first = similar(stars.unionByName(key_stars(nodes, words, radius)).distinct(), sets, least)
+    grouped = materialize(_grouped(nodes, components(first)), "stars")
+    near = materialize(hamming_links(short(grouped, "component"), 1, segments, within, "component"), "indexed")
+    unmet = materialize(_ends(near).join(sets.select("id"), "id", "left_anti"), "unmet")
+    known = sets.unionByName(sets_of(unmet)) if unmet.head(1) else sets
+    merged = _merged(grouped, similar(near, known, least)).drop("component").withColumnRenamed("component_id", "component")
+    grouped = materialize(merged, "indexed")
     links = materialize(key_links(grouped, sets, words, radius, least), "links")
     final = _merged(grouped, links)
     kept = final.groupBy("component_id").agg(F.min("rep").alias("kept"))
-    final = final.join(kept, "component_id").select("fp", "kept")
-    gone = fps.join(final, "fp").groupBy(F.col("id").alias("_gone")).agg(F.min(F.col("id") != F.col("kept")).alias("all_go")).where("all_go").select("_gone")
+    final = final.join(sorted_side(kept), "component_id").select("fp", "kept")
+    gone = fps.join(sorted_side(final), "fp").groupBy(F.col("id").alias("_gone")).agg(F.min(F.col("id") != F.col("kept")).alias("all_go")).where("all_go").select("_gone")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("id"))
     return rows.join(gone, F.col("id") == F.col("_gone"), "left_anti").select(*[F.col("row")[c].alias(c) for c in df.columns])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """(id): the ends of pairs (a, b), each once."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
