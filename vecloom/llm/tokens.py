@@ -66,9 +66,9 @@ class _Known(dict):
     met; a word of several is put together from them.
     """
 
-    def __init__(self, whole: dict[str, bytes], merge: Callable[[str], list]) -> None:
+    def __init__(self, whole: dict[str, bytes], merge: Callable[[str], list], most: int = _MOST) -> None:
         super().__init__(whole)
-        self.whole, self.merge = whole, merge
+        self.whole, self.merge, self.most = whole, merge, most
         self.letter = {b: c for c, b in _byte_letters().items()}
 
     def __missing__(self, word: str) -> bytes:
@@ -78,7 +78,7 @@ class _Known(dict):
         else:
             spelt = word if word.isascii() else "".join([self.letter[b] for b in word.encode()])
             ids = array("I", [t.id for t in self.merge(spelt)]).tobytes()
-        if len(self) >= _MOST:
+        if len(self) >= self.most:
             self.forget()
         if len(word) <= _LONG:
             self[word] = ids
@@ -90,16 +90,16 @@ class _Known(dict):
 
 
 class Counter:
-    """Ids of texts as little-endian 32-bit bytes; made once for a worker."""
+    """Ids of texts as little-endian 32-bit bytes, with up to ``most`` words remembered; made once for a worker."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = _MOST) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = tuple(x.content for x in self.tok.get_added_tokens_decoder().values())
         whole = {s: array("I", [i]).tobytes() for s, i in whole_tokens(path, self.tok).items()}
-        self.known = _Known(whole, self.tok.model.tokenize)
+        self.known = _Known(whole, self.tok.model.tokenize, most)
         self.chunks: dict[str, bytes] = {}  # other texts' chunks, encoded whole
 
     def forget(self) -> None:
@@ -118,7 +118,7 @@ class Counter:
         if self._is_plain(chunk):
             return self._plain(chunk)
         if chunk not in self.chunks:
-            if len(self.chunks) >= _MOST // 10:
+            if len(self.chunks) >= self.known.most // 10:
                 self.chunks.clear()
             self.chunks[chunk] = self._encode(chunk)
         return self.chunks[chunk]
@@ -138,8 +138,8 @@ class Counter:
 
 
 @lru_cache(maxsize=4)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(path: str, most: int = _MOST) -> Counter:
+    return Counter(path, most)
 
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
