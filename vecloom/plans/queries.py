@@ -479,8 +479,7 @@ def cophenetic_quality(spark, d):
     """Heights of the path through all ids against those of the exact tree."""
     p = _points(spark, d)
     path = graph.with_distance(p, p.select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")), "u", "v")
-    truth, found = dendrogram.cophenetic(mst.exact_tree(p)), dendrogram.cophenetic(path)
-    return quality.pearson(quality.joined_heights(truth, found)).select(F.round("quality", 6).alias("quality"))
+    return quality.tree_pearson(mst.exact_tree(p), path).select(F.round("quality", 6).alias("quality"))
 
 
 _RESULTS = """r AS MATERIALIZED (SELECT 'exact' AS algo, 22 AS ef, 71 AS max_build_heap_size, sqrt(h) AS x, sqrt(h) AS y FROM walk WHERE src < cur
