@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecloom import sources
-from vecloom.operators import dendrogram, graph, mst, quality
+from vecloom.functions import block_d2, near_tiles
+from vecloom.operators import dendrogram, graph, knn, mst, quality
 from vecloom.plans import clustering
 
 KIND = "algo string, time double, run int, params string, dendrogram array<struct<left_id: long, right_id: long, height: double, size: long>>"
@@ -55,3 +56,40 @@ def test_results_are_never_broadcast_with_pairs(spark):
     made = spark.createDataFrame([("none", 1.0, 1, "{}", None)], KIND)
     plan = quality.evaluate(made, dendrogram.cophenetic(tree), block=5)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def odd_points():
+    rng = np.random.default_rng(4)
+    far = rng.standard_normal((300, 4)) * 1e-3 + 1e6
+    return {"normal": rng.standard_normal((300, 4)), "copies": np.repeat(rng.standard_normal((20, 4)), 15, 0), "far": far, "grid": rng.integers(0, 4, (300, 3)) * 1.0}
+
+
+@pytest.mark.parametrize("name", sorted(odd_points()))
+@pytest.mark.parametrize("k", [1, 7, 400])
+def test_neighbours_by_products_are_exact(name, k):
+    """The same as from exact distances of all pairs, ties by id too; no approximate distance is off by more than it says."""
+    x, ids = odd_points()[name], np.arange(300)[::-1].copy()
+    y, other = x[100:], ids[100:]
+    d = block_d2(x, y)
+    assert all((np.abs(near - d[at : at + len(near)]) <= slack).all() for at, near, slack in near_tiles(x, y))
+    for others in (False, True):
+        full = np.where(ids[:, None] == other[None, :], np.inf, d) if others else d
+        r, c = knn._best(full, other, k)
+        for got, want in zip(knn._closest(ids, x, other, y, k, others), (ids[r], other[c], full[r, c])):
+            assert np.array_equal(got, want)
+
+
+@pytest.mark.parametrize("name", sorted(odd_points()))
+def test_trees_by_rounds_equal_those_of_all_blocks(spark, name):
+    """Edge for edge, also with ties and with core distances."""
+    pts = sources.points_from_numpy(spark, odd_points()[name])
+    core = knn.knn_graph(pts, 5).where("rank = 5").select(F.col("src").alias("id"), F.col("d2").alias("core"))
+    for c in (None, core) if name != "grid" else (None,):
+        assert sorted(map(tuple, mst.exact_tree(pts, core=c, few=0).collect())) == sorted(map(tuple, mst.exact_tree(pts, core=c).collect()))
+
+
+def test_blocks_grow_with_the_table(spark):
+    """What cells shuffle is the table times its blocks: 24 of them, not one for each 1,024 points."""
+    pts = spark.range(60_000).select("id", F.array(F.lit(0.0)).alias("features"))
+    rows = knn._cells(pts, None, lambda a, x, b, y, same: {"n": [len(a)]}, "n long", whole=True)
+    assert rows.count() <= 25 * 26 / 2
