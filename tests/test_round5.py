@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vecloom import sources
 from vecloom.functions import block_d2, near_tiles
-from vecloom.operators import dendrogram, graph, knn, mst, quality
+from vecloom.operators import dendrogram, graph, knn, mst, prune, quality
 from vecloom.plans import clustering
 
 KIND = "algo string, time double, run int, params string, dendrogram array<struct<left_id: long, right_id: long, height: double, size: long>>"
@@ -93,3 +93,15 @@ def test_blocks_grow_with_the_table(spark):
     pts = spark.range(60_000).select("id", F.array(F.lit(0.0)).alias("features"))
     rows = knn._cells(pts, None, lambda a, x, b, y, same: {"n": [len(a)]}, "n long", whole=True)
     assert rows.count() <= 25 * 26 / 2
+
+
+@pytest.mark.parametrize("name", sorted(odd_points()))
+@pytest.mark.parametrize("rule", prune.RULES)
+def test_all_points_are_pruned_without_all_pairs(spark, monkeypatch, name, rule):
+    """As the fold over a table of all pairs, in rounds of few candidates; copies keep distances of 0."""
+    x = odd_points()[name][:60]
+    pts = sources.points_from_numpy(spark, x)
+    want = sorted(map(tuple, prune.prune(pts, graph.directed(knn.all_pairs(pts)), rule).select("src", "dst", "d2").collect()))
+    monkeypatch.setattr(knn, "all_pairs", no_pairs)
+    monkeypatch.setattr(prune, "CELL", 40)
+    assert sorted(map(tuple, prune.prune_all(pts, rule, most=9).collect())) == want
