@@ -105,3 +105,13 @@ def test_all_points_are_pruned_without_all_pairs(spark, monkeypatch, name, rule)
     monkeypatch.setattr(knn, "all_pairs", no_pairs)
     monkeypatch.setattr(prune, "CELL", 40)
     assert sorted(map(tuple, prune.prune_all(pts, rule, most=9).collect())) == want
+
+
+def test_large_buckets_are_cut_into_few_shares(spark, monkeypatch):
+    """Shares had ``block`` points, so that a bucket's points were copied once for each 16 of them; results don't depend on shares."""
+    pts = sources.points_from_numpy(spark, odd_points()["normal"])
+    made = lambda block: knn.knn_graph_bucketed(pts, 4, passes=3, bits=2, block=block)
+    assert f"/ {float(knn.CELL)}" in made(16)._jdf.queryExecution().optimizedPlan().toString()
+    whole = sorted(map(tuple, made(16).collect()))
+    monkeypatch.setattr(knn, "CELL", 16)
+    assert sorted(map(tuple, made(16).collect())) == whole

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import block_d2, near_d2, near_tiles, np_uniform, pairs_d2, row_d2
+from ..functions import block_d2, near_tiles, np_uniform, pairs_d2, row_d2
 from ..session import save
 
 BLOCK = 1024  # points of a tile: functions of pairs see two
@@ -162,9 +162,9 @@ def knn_graph_bucketed(points: DataFrame, k: int = 10, passes: int = PASSES, bit
 
     Hyperplanes go through the points' mean. Their number ``bits`` grows with the table
     so that a bucket of evenly spread points holds about ``block`` of them. Without hyperplanes, of up to ``block`` points, there is
-    one bucket of all and the result is exact. Buckets above ``block`` points are cut by hash into shares that are
+    one bucket of all and the result is exact. Buckets above CELL points are cut by hash into shares that are
     compared pair by pair, so that no task gets a bucket of unbounded size and no pair of a bucket is
-    left out. Each bucket keeps k candidates a point.
+    left out; however small ``block`` is, points are copied once for each CELL of their bucket only. Each bucket keeps k candidates a point.
     """
     n = points.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / block))) if bits is None else bits
@@ -184,36 +184,21 @@ def knn_graph_bucketed(points: DataFrame, k: int = 10, passes: int = PASSES, bit
 
     table = save(points.select("id", "features").mapInArrow(coded, "id long, features array<double>, codes array<long>"), "codes")
     rows = table.select("id", "features", F.explode("codes").alias("code"))
-    sizes = rows.groupBy("code").agg(F.ceil(F.count("*") / block).cast("int").alias("shares"))
+    sizes = rows.groupBy("code").agg(F.ceil(F.count("*") / CELL).cast("int").alias("shares"))
     rows = rows.join(sizes, "code").withColumn("own", F.pmod(F.xxhash64("id", "code"), F.col("shares")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("shares") - 1), lambda other: F.struct(F.least("own", other).alias("i"), F.greatest("own", other).alias("j")))
     rows = rows.withColumn("cell", F.explode(cells)).select("code", "cell.i", "cell.j", "own", "id", "features")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf["id"].to_numpy(), np.array(pdf["features"].tolist(), dtype=np.float64)
-        d = near_d2(x, x)
-        np.fill_diagonal(d, np.inf)
-        if pdf["i"].iat[0] != pdf["j"].iat[0]:
-            own = pdf["own"].to_numpy()
-            d[own[:, None] == own[None, :]] = np.inf  # another cell's
-        r, c = _nearest(d, k)
-        return pd.DataFrame({"src": ids[r], "dst": ids[c], "d2": ((x[r] - x[c]) ** 2).sum(axis=1)})
+        ids, x, own = pdf["id"].to_numpy(), np.array(pdf["features"].tolist(), dtype=np.float64), pdf["own"].to_numpy() == pdf["i"].iat[0]
+        if pdf["i"].iat[0] == pdf["j"].iat[0]:
+            out = [_closest(ids, x, ids, x, k, True)]
+        else:  # pairs within a share are another cell's
+            out = [_closest(ids[own], x[own], ids[~own], x[~own], k), _closest(ids[~own], x[~own], ids[own], x[own], k)]
+        return pd.DataFrame(dict(zip(("src", "dst", "d2"), (np.concatenate(c) for c in zip(*out)))))
 
     found = rows.groupBy("code", "i", "j").applyInPandas(run, "src long, dst long, d2 double").where("src <> dst")
-    first = found.groupBy("src", "dst").agg(F.min("d2").alias("d2"))
-    best = _top(first, "src", 2 * k, "dst").drop("rank", "d2")
-    from .graph import with_distance
-
-    return _top(with_distance(points, best), "src", k, "dst")  # once more in exact sums
-
-
-def _nearest(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the columns of the k smallest finite numbers: (row, column)."""
-    k = min(k, d.shape[1])
-    part = np.argpartition(d, k - 1, axis=1)[:, :k]
-    rows, cols = np.repeat(np.arange(len(d)), k), part.ravel()
-    ok = np.isfinite(d[rows, cols])
-    return rows[ok], cols[ok]
+    return _top(found.groupBy("src", "dst").agg(F.min("d2").alias("d2")), "src", k, "dst")
 
 
 def knn_local_join(points: DataFrame, edges: DataFrame, k: int = 10, most: int | None = None) -> DataFrame:
