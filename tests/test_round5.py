@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vecloom import sources
 from vecloom.functions import block_d2, near_tiles
-from vecloom.operators import dendrogram, graph, knn, mst, prune, quality
+from vecloom.operators import dendrogram, graph, knn, metric, mst, prune, quality
 from vecloom.plans import clustering
 
 KIND = "algo string, time double, run int, params string, dendrogram array<struct<left_id: long, right_id: long, height: double, size: long>>"
@@ -115,3 +115,17 @@ def test_large_buckets_are_cut_into_few_shares(spark, monkeypatch):
     whole = sorted(map(tuple, made(16).collect()))
     monkeypatch.setattr(knn, "CELL", 16)
     assert sorted(map(tuple, made(16).collect())) == whole
+
+
+@pytest.mark.parametrize("name", sorted(odd_points()))
+def test_trees_are_searched_by_subtrees(spark, monkeypatch, name):
+    """A query meets subtrees, not each of their leaves: rows for queries and leaves grew with the square of the table."""
+    x = odd_points()[name]
+    pts = sources.points_from_numpy(spark, x)
+    monkeypatch.setattr(metric, "CELL", 80)
+    tree, queries = metric.build_tree(pts, leaf=4), pts.withColumnRenamed("id", "qid")
+    made, seen = metric._visits, []
+    monkeypatch.setattr(metric, "_visits", lambda *a: seen.append(made(*a)) or seen[-1])
+    got = sorted(map(tuple, metric.tree_knn(tree, queries, 5).select("qid", "id", "d2", "rank").collect()))
+    assert got == sorted(map(tuple, knn.knn_query(pts, queries, 5).select("qid", "id", "d2", "rank").collect()))
+    assert seen[0].count() <= 4 * len(x) and tree.n_leaves() >= 64

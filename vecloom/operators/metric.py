@@ -9,12 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import block_d2, hash_uniform, l2
+from ..functions import hash_uniform, l2
 from ..session import release, save
-from .knn import _best, _top
+from .knn import BLOCK, CELL, CELLS, _closest, _top
 
 LEAF = 512  # points of a leaf
-ASKED = 1024  # queries that one task compares with a leaf
+ASKED = CELL  # queries that one task compares with a leaf or a subtree, at most
 FEW = 1024  # nodes of a level up to which their table is broadcast
 _SLACK = 1e-9  # of the distances compared: sums of squares are rounded
 
@@ -81,11 +81,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _children(tree: MetricTree, asked: DataFrame, at: DataFrame) -> DataFrame:
-    """(qid, node, d, low, high): for each pair (qid, node) of a node with vantage point its children, with the query's distance from that point."""
-    far = at.join(_small(tree.vantages), "node").join(asked.select("qid", "features"), "qid").select("qid", "node", l2("features", "vantage").alias("d"))
+def _at_level(df: DataFrame, level: int) -> DataFrame:
+    return df.where(F.col("node").between(1 << level, (2 << level) - 1))
+
+
+def _children(tree: MetricTree, asked: DataFrame, at: DataFrame, level: int) -> DataFrame:
+    """(qid, node, d, low, high): for each pair (qid, node) of a node of the level with vantage point its children, with the query's distance from that point."""
+    far = at.join(asked.select("qid", "features"), "qid").join(_small(_at_level(tree.vantages, level)), "node").select("qid", "node", l2("features", "vantage").alias("d"))
     both = far.select("qid", "d", F.explode(F.array(2 * F.col("node"), 2 * F.col("node") + 1)).alias("node"))
-    return both.join(_small(tree.spans), "node").select("qid", "node", "d", "low", "high")
+    return both.join(_small(_at_level(tree.spans, level + 1)), "node").select("qid", "node", "d", "low", "high")
 
 
 def _outside(d: Column, low: Column, high: Column) -> Column:
@@ -97,26 +101,32 @@ def _own_leaves(tree: MetricTree, asked: DataFrame) -> DataFrame:
     """(qid, node): the leaf each query comes to when it takes the nearer child everywhere."""
     at, ended = asked.select("qid", F.lit(1).cast("long").alias("node")), []
     first = Window.partitionBy("qid").orderBy(_outside(F.col("d"), F.col("low"), F.col("high")), "node")
-    for _ in range(tree.depth):
-        ended.append(at.join(tree.vantages, "node", "left_anti").select("qid", "node"))
-        at = save(_children(tree, asked, at).withColumn("r", F.row_number().over(first)).where("r = 1").select("qid", "node"), "own")
+    for level in range(tree.depth):
+        ended.append(at.join(tree.vantages.select("node"), "node", "left_anti").select("qid", "node"))
+        at = save(_children(tree, asked, at, level).withColumn("r", F.row_number().over(first)).where("r = 1").select("qid", "node"), "own")
     return _union([*ended, at])
 
 
-def _compared(tree: MetricTree, asked: DataFrame, visits: DataFrame, k: int) -> DataFrame:
-    """(qid, id, d2): of each visit (qid, node) the k nearest points of the leaf. A leaf's queries are dealt to shares of about ASKED."""
-    shares = visits.groupBy("node").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("shares"))
+def _compared(tree: MetricTree, asked: DataFrame, visits: DataFrame, k: int, level: int | None = None) -> DataFrame:
+    """(qid, id, d2): of each visit (qid, node) the k nearest points below the node, a leaf or a node of ``level``.
+
+    A node's queries are dealt to shares as large as a block of cells, each with all the node's points.
+    """
+    size = min(ASKED, max(BLOCK, -(-asked.count() // CELLS)))
+    shares = visits.groupBy("node").agg(F.ceil(F.count("*") / size).cast("int").alias("shares"))
     shares = save(shares, "shares")
     wanted = visits.join(_small(shares), "node").join(asked.select("qid", "features"), "qid").select("node", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int").alias("share"), "qid", "features")
-    held = tree.leaves.join(_small(shares), "node").select("node", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "features")
+    leaves = tree.leaves
+    if level is not None:
+        below = F.length(F.bin("node")) - 1 - level  # levels
+        leaves = leaves.withColumn("_b", below).withColumn("node", F.expr("IF(_b > 0, shiftright(node, _b), node)")).drop("_b")
+    held = leaves.join(_small(shares), "node").select("node", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "id", "features")
 
     def run(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(points):
             return pd.DataFrame({"qid": [], "id": [], "d2": []}).astype({"qid": "int64", "id": "int64"})
-        q, ids = queries["qid"].to_numpy(), points["id"].to_numpy()
-        d = block_d2(np.array(queries["features"].tolist(), dtype=np.float64), np.array(points["features"].tolist(), dtype=np.float64))
-        r, c = _best(d, ids, k)
-        return pd.DataFrame({"qid": q[r], "id": ids[c], "d2": d[r, c]})
+        x, y = (np.array(pdf["features"].tolist(), dtype=np.float64) for pdf in (queries, points))
+        return pd.DataFrame(dict(zip(("qid", "id", "d2"), _closest(queries["qid"].to_numpy(), x, points["id"].to_numpy(), y, k))))
 
     return wanted.groupBy("node", "share").cogroup(held.groupBy("node", "share")).applyInPandas(run, "qid long, id long, d2 double")
 
@@ -131,22 +141,30 @@ def leaf_visits(tree: MetricTree, queries: DataFrame, k: int = 10) -> DataFrame:
     A query's bound is the distance of the k-th nearest point of its own leaf; a leaf with fewer points bounds nothing. From
     the root down a child is entered unless its span lies farther from the query than the bound.
     """
-    return _visits(tree, _asked(queries), k)
+    return _visits(tree, _asked(queries), k, tree.depth)
 
 
-def _visits(tree: MetricTree, asked: DataFrame, k: int) -> DataFrame:
+def _visits(tree: MetricTree, asked: DataFrame, k: int, depth: int) -> DataFrame:
+    """(qid, node): what leaf_visits() enters down to level ``depth``: nodes of that level, and leaves above it."""
     near = _compared(tree, asked, _own_leaves(tree, asked), k)
     bound = save(near.groupBy("qid").agg(F.when(F.count("*") >= k, F.sqrt(F.max("d2"))).alias("bound")), "bounds")
     at, ended = asked.select("qid", F.lit(1).cast("long").alias("node")), []
-    for _ in range(tree.depth):
-        ended.append(at.join(tree.vantages, "node", "left_anti").select("qid", "node"))
+    for level in range(depth):
+        ended.append(at.join(tree.vantages.select("node"), "node", "left_anti").select("qid", "node"))
         slack = F.lit(_SLACK) * (F.col("d") + F.col("high") + F.col("bound"))
         entered = F.col("bound").isNull() | (_outside(F.col("d"), F.col("low"), F.col("high")) <= F.col("bound") + slack)
-        at = save(_children(tree, asked, at).join(bound, "qid").where(entered).select("qid", "node"), "visits")
+        at = save(_children(tree, asked, at, level).join(bound, "qid").where(entered).select("qid", "node"), "visits")
     return _union([*ended, at])
 
 
 def tree_knn(tree: MetricTree, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, id, d2, rank): the k nearest points of each query (qid, features) with a unique qid, ties by id: exact."""
-    asked = _asked(queries)
-    return _top(_compared(tree, asked, save(_visits(tree, asked, k), "visits"), k), "qid", k, "id")
+    """(qid, id, d2, rank): the k nearest points of each query (qid, features) with a unique qid, ties by id: exact.
+
+    Subtrees of about as many points as a block of cells aren't descended any further: a query that enters one is compared with all its
+    points by matrix products. In many dimensions, where nearly all leaves would be visited, a row for each query and leaf
+    would cost more.
+    """
+    asked, n = _asked(queries), tree.leaves.count()
+    size = min(CELL, max(BLOCK, -(-n // CELLS)))
+    level = min(tree.depth, max(0, (-(-n // size) - 1).bit_length()))
+    return _top(_compared(tree, asked, save(_visits(tree, asked, k, level), "visits"), k, level), "qid", k, "id")
