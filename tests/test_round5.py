@@ -129,3 +129,18 @@ def test_trees_are_searched_by_subtrees(spark, monkeypatch, name):
     got = sorted(map(tuple, metric.tree_knn(tree, queries, 5).select("qid", "id", "d2", "rank").collect()))
     assert got == sorted(map(tuple, knn.knn_query(pts, queries, 5).select("qid", "id", "d2", "rank").collect()))
     assert seen[0].count() <= 4 * len(x) and tree.n_leaves() >= 64
+
+
+@pytest.mark.parametrize("name", sorted(odd_points()))
+def test_any_spanning_tree_is_completed_to_the_exact_one(spark, name):
+    """Edge for edge, from the path through all ids, in blocks."""
+    pts = sources.points_from_numpy(spark, odd_points()[name][:120])
+    path = graph.with_distance(pts, spark.range(119).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")), "u", "v")
+    assert sorted(map(tuple, mst.completed_tree(pts, path, block=50).collect())) == sorted(map(tuple, mst.exact_tree(pts).collect()))
+
+
+def test_expansion_measures_few_pairs(spark):
+    """Neighbours are those of the pool given: with a growing pool nearly all pairs were measured after two rounds."""
+    pts = sources.points_from_numpy(spark, np.random.default_rng(8).standard_normal((400, 16)))
+    pool = graph.undirected(knn.knn_graph(pts, 3))
+    assert mst.expanded_pool(pts, pool, symmetric=True).count() < 400 * 399 / 2 / 4
