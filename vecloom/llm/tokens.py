@@ -92,14 +92,14 @@ class _Known(dict):
 class Counter:
     """Ids of texts as little-endian 32-bit bytes, with up to ``most`` words remembered; made once for a worker."""
 
-    def __init__(self, path: str, most: int = _MOST) -> None:
+    def __init__(self, path: str, most: int | None = None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.special = tuple(x.content for x in self.tok.get_added_tokens_decoder().values())
         whole = {s: array("I", [i]).tobytes() for s, i in whole_tokens(path, self.tok).items()}
-        self.known = _Known(whole, self.tok.model.tokenize, most)
+        self.known = _Known(whole, self.tok.model.tokenize, _MOST if most is None else most)
         self.chunks: dict[str, bytes] = {}  # other texts' chunks, encoded whole
 
     def forget(self) -> None:
@@ -138,7 +138,7 @@ class Counter:
 
 
 @lru_cache(maxsize=4)
-def counter(path: str, most: int = _MOST) -> Counter:
+def counter(path: str, most: int | None = None) -> Counter:
     return Counter(path, most)
 
 
